@@ -1,0 +1,128 @@
+import shutil
+
+import pytest
+from helpers import LINES, PARTS, brute_force, plan_of, rows, some_lines, some_parts
+
+from tallyfold.sources import read_table, stream_table
+from tallyfold.streaming import start_units_stream, units_so_far
+
+
+class Shop:
+    """Tables in a folder, and a stream over them."""
+
+    def __init__(self, spark, base):
+        self.spark, self.root, self.folder = spark, str(base / "tables"), str(base / "stream")
+        self.lines, self.parts = [], []
+
+    def add_lines(self, lines, files=1):
+        self.lines += lines
+        df = self.spark.createDataFrame(lines, LINES).repartition(files)
+        df.write.mode("append").parquet(f"{self.root}/lineitem.parquet")
+
+    def add_parts(self, parts):
+        self.parts += parts
+        df = self.spark.createDataFrame(parts, PARTS).coalesce(1)
+        df.write.mode("append").parquet(f"{self.root}/part.parquet")
+
+    def read_part(self, session):
+        return read_table(session, self.root, "part")
+
+    def run(self, read_part=None, max_files=1):
+        query = start_units_stream(
+            stream_table(self.spark, self.root, "lineitem", max_files),
+            read_part or self.read_part,
+            self.folder,
+            {"availableNow": True},
+        )
+        query.awaitTermination()
+        return query
+
+    def report(self):
+        return rows(units_so_far(self.spark, self.folder, self.read_part(self.spark)))
+
+    def expected(self):
+        return brute_force(self.lines, self.parts)
+
+
+@pytest.fixture
+def shop(spark, tmp_path):
+    return Shop(spark, tmp_path)
+
+
+def batches(query):
+    return [p.batchId for p in query.recentProgress if p.numInputRows]
+
+
+def test_many_batches_out_of_order_match_brute_force(shop):
+    shop.add_parts(some_parts())
+    newest_first = sorted(some_lines(900), key=lambda line: str(line[4]), reverse=True)
+    shop.add_lines(newest_first, files=5)
+    assert len(batches(shop.run())) == 5
+    assert shop.report() == shop.expected()
+
+
+def test_lines_that_come_later_are_added_however_old(shop):
+    shop.add_parts(some_parts())
+    for seed in range(3):
+        shop.add_lines(some_lines(200, seed), files=2)
+        shop.run()
+        assert shop.report() == shop.expected()
+
+
+def test_lines_count_once_their_part_is_known(shop):
+    late = some_parts()[3:9]
+    shop.add_parts([p for p in some_parts() if p not in late])
+    shop.add_lines(some_lines(400), files=3)
+    shop.run()
+    assert shop.report() == shop.expected()
+    before = sum(row[3] for row in shop.report())
+
+    shop.add_parts(late)
+    assert shop.report() == shop.expected()
+    assert sum(row[3] for row in shop.report()) > before
+    shop.add_lines(some_lines(400, seed=1), files=2)
+    shop.run()
+    assert shop.report() == shop.expected()
+
+
+def test_it_goes_on_after_a_failed_batch(shop):
+    shop.add_parts(some_parts())
+    shop.add_lines(some_lines(600), files=4)
+    calls = []
+
+    def fails_once(session):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return shop.read_part(session)
+
+    with pytest.raises(Exception, match="lost"):
+        shop.run(fails_once)
+    assert shop.report() != shop.expected()
+    shop.run()
+    assert shop.report() == shop.expected()
+
+
+def test_a_batch_run_again_counts_once(shop):
+    shop.add_parts(some_parts())
+    shop.add_lines(some_lines(600), files=3)
+    shop.run()
+    # As if the driver had died between writing the last totals and noting it.
+    for name in ("2", ".2.crc"):
+        shutil.os.remove(f"{shop.folder}/checkpoint/commits/{name}")
+    assert batches(shop.run()) == [2]
+    assert shop.report() == shop.expected()
+
+
+def test_a_report_before_the_first_batch_is_empty(shop):
+    shop.add_parts(some_parts())
+    shop.spark.createDataFrame([], LINES).write.parquet(f"{shop.root}/lineitem.parquet")
+    shop.run()
+    assert shop.report() == []
+
+
+def test_the_stream_reads_only_the_columns_used(shop):
+    shop.add_parts(some_parts())
+    shop.add_lines(some_lines(100))
+    plan = plan_of(shop.run())
+    assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_shipdate:timestamp_ntz>" in plan
