@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def month_start(when: Column) -> Column:
-    """Midnight on the first of the month, as ``timestamp_ntz``.
+    """The first of the month, as a date.
 
-    It goes by way of a date: ``date_trunc`` would turn a ``timestamp_ntz`` into
-    an instant of the session time zone.
+    ``date_trunc`` would turn a ``timestamp_ntz`` into an instant of the session
+    time zone. Cast the date to ``timestamp_ntz`` only after grouping by it: done
+    row by row, that cast is a quarter of the time of the whole query.
     """
-    return F.trunc(when.cast("date"), "month").cast("timestamp_ntz")
+    return F.trunc(when.cast("date"), "month")
 
 
 def whole_units(quantity: Column) -> Column:

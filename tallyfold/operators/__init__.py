@@ -1,3 +1,4 @@
+from tallyfold.operators.lines import monthly_lines
 from tallyfold.operators.totals import add_up, total_units
 
-__all__ = ["add_up", "total_units"]
+__all__ = ["add_up", "monthly_lines", "total_units"]

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.functions import month_start
-from tallyfold.operators import total_units
+from tallyfold.operators import monthly_lines, total_units
 
 
 def units_by_brand_month(lineitem: DataFrame, part: DataFrame) -> DataFrame:
@@ -18,8 +17,7 @@ def units_by_brand_month(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     share of the lines. Totalling per part and month ahead of the join would
     shuffle the lines twice (README, "Scale").
     """
-    return total_units(
-        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")),
-        "p_brand",
-        month_start(F.col("l_shipdate")).alias("month"),
+    lines = monthly_lines(lineitem).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return total_units(lines, "p_brand", "month").withColumn(
+        "month", F.col("month").cast("timestamp_ntz")
     )

@@ -18,12 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyfold.functions import month_start
-from tallyfold.operators import add_up, total_units
+from tallyfold.operators import add_up, monthly_lines, total_units
 
-_TOTALS = (
-    "p_brand string, month timestamp_ntz, waiting_partkey bigint, units bigint, n_lines bigint"
-)
+_TOTALS = "p_brand string, month date, waiting_partkey bigint, units bigint, n_lines bigint"
 
 
 def start_units_stream(
@@ -50,7 +47,7 @@ def start_units_stream(
 
     return (
         # Pruning does not reach the scan from inside foreachBatch.
-        lines.select("l_partkey", "l_quantity", "l_shipdate")
+        monthly_lines(lines)
         .where(F.col("l_partkey").isNotNull())
         .writeStream.foreachBatch(write_totals)
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -68,13 +65,15 @@ def units_so_far(spark: SparkSession, folder: str, part: DataFrame) -> DataFrame
         totals.where(F.col("waiting_partkey").isNotNull()), "waiting_partkey", "month"
     )
     arrived = waiting.join(part, F.col("waiting_partkey") == F.col("p_partkey")).select(columns)
-    return add_up(settled.unionByName(arrived), "p_brand", "month")
+    return add_up(settled.unionByName(arrived), "p_brand", "month").withColumn(
+        "month", F.col("month").cast("timestamp_ntz")
+    )
 
 
 def _batch_totals(lines: DataFrame, part: DataFrame) -> DataFrame:
     return total_units(
         lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left"),
         "p_brand",
-        month_start(F.col("l_shipdate")).alias("month"),
+        "month",
         F.when(F.col("p_partkey").isNull(), F.col("l_partkey")).alias("waiting_partkey"),
     )

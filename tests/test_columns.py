@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from hypothesis import given
@@ -23,8 +23,8 @@ def test_month_start_ignores_the_session_zone(spark, settings, zone):
     settings(spark__sql__session__timeZone=zone)
     df = spark.createDataFrame([(x,) for x in EDGES], "x timestamp_ntz")
     result = df.select("x", month_start(F.col("x")).alias("m"))
-    assert dict(result.dtypes)["m"] == "timestamp_ntz"
-    assert [(x, x and datetime(x.year, x.month, 1)) for x in EDGES] == list(
+    assert dict(result.dtypes)["m"] == "date"
+    assert [(x, x and date(x.year, x.month, 1)) for x in EDGES] == list(
         map(tuple, result.collect())
     )
 
