@@ -3,9 +3,10 @@ from helpers import LINES, PARTS, brute_force, plan_of, rows, some_lines, some_p
 from pyspark.sql import functions as F
 
 from conftest import TESTDATA
-from tallyfold.operators import add_up, total_units
+from tallyfold.operators import add_up, monthly_lines, total_units
 from tallyfold.plans import units_by_brand_month
 from tallyfold.sources import read_table
+from tallyfold.streaming.units import _batch_totals
 
 
 def frames(spark, lines, parts):
@@ -33,6 +34,11 @@ def test_totals_of_any_split_add_up(spark, pieces):
     assert rows(add_up(split, "l_partkey").select(whole.columns)) == rows(whole)
 
 
+def stream_batch(lineitem, part):
+    """The totals of one micro-batch, as the stream takes them."""
+    return _batch_totals(monthly_lines(lineitem), part)
+
+
 def tables(spark, sf="sf0.01"):
     return [read_table(spark, f"{TESTDATA}/{sf}", name) for name in ("lineitem", "part")]
 
@@ -69,7 +75,8 @@ def test_parts_over_the_threshold_are_not_broadcast(spark, settings):
     assert "Exchange hashpartitioning(l_partkey" in plan
 
 
-def test_a_part_with_a_third_of_all_lines_is_split(spark, settings, tmp_path):
+@pytest.mark.parametrize("plan", [units_by_brand_month, stream_batch])
+def test_a_part_with_a_third_of_all_lines_is_split(spark, settings, tmp_path, plan):
     lineitem, part = tables(spark)
     hot = F.when(F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice") % 3 == 0, F.lit(77))
     hot_path = str(tmp_path / "lineitem.parquet")
@@ -78,7 +85,7 @@ def test_a_part_with_a_third_of_all_lines_is_split(spark, settings, tmp_path):
     ).write.parquet(hot_path)
     lineitem = spark.read.parquet(hot_path)
     assert lineitem.where("l_partkey = 77").count() > lineitem.count() / 4
-    expected = rows(units_by_brand_month(lineitem, part))
+    expected = rows(plan(lineitem, part))
 
     settings(
         spark__sql__autoBroadcastJoinThreshold="-1",
@@ -88,6 +95,6 @@ def test_a_part_with_a_third_of_all_lines_is_split(spark, settings, tmp_path):
         spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
         spark__sql__files__maxPartitionBytes="100k",
     )
-    result = units_by_brand_month(spark.read.parquet(hot_path), part)
+    result = plan(spark.read.parquet(hot_path), part)
     assert rows(result) == expected
     assert "skew=true" in plan_of(result).split("Initial Plan")[0]
