@@ -23,5 +23,6 @@ def test_a_cluster_without_the_setting_is_refused():
         new_shared_folder(session("yarn", None))
 
 
-def test_local_mode_falls_back_to_a_temporary_folder():
-    assert "tallyfold-" in new_shared_folder(session("local[4]", None))
+def test_local_mode_falls_back_to_a_temporary_folder(monkeypatch, tmp_path):
+    monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
+    assert new_shared_folder(session("local[4]", None)).startswith(str(tmp_path))
