@@ -27,13 +27,16 @@ class Shop:
     def read_part(self, session):
         return read_table(session, self.root, "part")
 
-    def run(self, read_part=None, max_files=1):
-        query = start_units_stream(
-            stream_table(self.spark, self.root, "lineitem", max_files),
+    def start(self, trigger, read_part=None):
+        return start_units_stream(
+            stream_table(self.spark, self.root, "lineitem", max_files_per_batch=1),
             read_part or self.read_part,
             self.folder,
-            {"availableNow": True},
+            trigger,
         )
+
+    def run(self, read_part=None):
+        query = self.start({"availableNow": True}, read_part)
         query.awaitTermination()
         return query
 
@@ -85,6 +88,26 @@ def test_lines_count_once_their_part_is_known(shop):
     assert shop.report() == shop.expected()
 
 
+def test_a_stream_that_stays_up_sees_new_lines_and_new_parts(shop):
+    shop.add_parts(some_parts()[:6])
+    shop.add_lines(some_lines(200), files=2)
+    query = shop.start({"processingTime": "0 seconds"})
+    try:
+        query.processAllAvailable()
+        assert shop.report() == shop.expected()
+        shop.add_parts(some_parts()[6:])
+        shop.add_lines(some_lines(200, seed=1), files=2)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert shop.report() == shop.expected()
+    # The later batches settled lines of the parts added while the stream was up.
+    totals = shop.spark.read.parquet(f"{shop.folder}/totals")
+    later = totals.where("batch_id >= 2 and waiting_partkey is not null")
+    unknown = {line[2] for line in shop.lines} - {part for part, _ in shop.parts}
+    assert {row.waiting_partkey for row in later.collect()} <= unknown
+
+
 def test_it_goes_on_after_a_failed_batch(shop):
     shop.add_parts(some_parts())
     shop.add_lines(some_lines(600), files=4)
