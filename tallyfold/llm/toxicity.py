@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import arrow_map, rows_where, whole_text
+from tallyfold.llm.common import arrow_map, rows_where, whole_text, written
 
 DOCS_PER_LABEL = 2500
 SAMPLE_CHARS = 16 << 20
@@ -235,7 +235,8 @@ def learn(documents: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PE
     place = F.pmod(F.xxhash64("of"), F.lit(1 << 30))
     limits = {k: int(min(1.0, docs_per_label / n) * (1 << 30)) for k, n in sizes.items()}
     limit = F.when(F.col("toxic") == 1, limits.get(1, 0)).otherwise(limits.get(0, 0))
-    sample = marks.where(place < limit)
+    # Written, so that Spark sees how small it is and leaves the documents where they are.
+    sample = written(marks.where(place < limit))
     found = documents.join(sample, F.col("doc_id") == F.col("of")).select("of", "toxic", "text")
     rows = found.where(F.col("text").isNotNull()).toArrow()
     order = sorted(
