@@ -1,12 +1,13 @@
 """Nearest neighbours by inner product: a block matrix join with error bounds.
 
-Vectors are dealt into blocks by a hash of their id, and so are the queries. Each pair of
-blocks is one tile. In a tile, vectors quantised to int8 are multiplied (as whole numbers in
-float32, which is exact), and the product of two codes differs from the true inner product by
-a bounded error, known from what quantising left over. A candidate survives if its upper bound
-reaches the k-th largest lower bound of its query. Survivors are computed again in double
-precision on the original vectors, each tile keeps its k best of each query by a heap, and the
-heaps are merged.
+Queries are dealt into blocks by a hash, as many as it takes, and candidates into PARTS parts.
+Each block meets each part in one tile: the queries are held, the candidates pass by. Vectors
+are quantised to int8 and multiplied (as whole numbers in float32, which is exact); the product
+of two codes differs from the true inner product by a bounded error, known from what quantising
+left over. A candidate survives unless its upper bound is below the k-th largest lower bound of
+its query, or below the k-th best score so far. Survivors are computed again in double precision
+on the original vectors, each tile keeps the k best of each query by a heap, and the heaps of
+the PARTS tiles are merged.
 
 Nothing is lost by the bounds, so the result is that of brute force.
 
@@ -28,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import written
-
-BLOCK_ROWS = 4096
-BLOCK_BYTES = 4 << 20  # of longer vectors a block holds fewer
+BLOCK_QUERIES = 16384  # of a block at most; BLOCK_BYTES may make it fewer
+BLOCK_BYTES = 16 << 20
+PARTS = 8  # of the candidates; each block of queries meets each part in one tile
+TILE_QUERIES, TILE_ROWS = 512, 2048  # multiplied at once
 EXACT_DIMS = 1024  # products of so many int8 pairs add up exactly in float32
 PAIRS_AT_ONCE = 1 << 18
 FOUND = "query_id bigint, query_hash bigint, vec_id bigint, score double"
@@ -51,62 +52,6 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, name: str, n: int) -> DataFrame:
-    """One row for each length and block, with its ids and vectors packed."""
-    bucket = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-
-        def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {
-                    "dim": pa.array([held[0][0]], pa.int32()),
-                    "block": pa.array([held[0][1]], pa.int32()),
-                    "ids": pa.array([np.concatenate([h[2] for h in held]).tobytes()], pa.binary()),
-                    "vectors": pa.array([np.concatenate([h[3] for h in held]).tobytes()], pa.binary()),
-                }
-            )
-
-        # Rows come sorted by length and block; a block too large is given in parts.
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            blocks = batch.column("block").to_numpy()
-            ids = batch.column("vec_id").to_numpy()
-            flat = batch.column("embedding").flatten().to_numpy()
-            ends = np.cumsum(dims, dtype=np.int64)
-            border = np.flatnonzero((np.diff(dims) != 0) | (np.diff(blocks) != 0)) + 1
-            for a, b in zip([0, *border.tolist()], [*border.tolist(), batch.num_rows]):
-                if not b:
-                    continue
-                if held and held[0][:2] != (int(dims[a]), int(blocks[a])):
-                    yield full()
-                    held = []
-                most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * int(dims[a]))))
-                for c in range(a, b, most):
-                    d = min(b, c + most)
-                    if held and sum(len(h[2]) for h in held) + d - c > most:
-                        yield full()
-                        held = []
-                    part = flat[ends[c] - dims[c] : ends[d - 1]]
-                    held.append((int(dims[a]), int(blocks[a]), ids[c:d].copy(), part.copy()))
-        if held:
-            yield full()
-
-    return (
-        rows.select(F.size("embedding").alias("dim"), bucket.alias("block"), "vec_id", "embedding")
-        .repartition("dim", "block")
-        .sortWithinPartitions("dim", "block")
-        .mapInArrow(pack, "dim int, block int, ids binary, vectors binary")
-        .select(
-            "dim",
-            F.col("block").alias(f"{name}_block"),
-            F.col("ids").alias(f"{name}_ids"),
-            F.col("vectors").alias(f"{name}_vectors"),
-        )
-    )
-
-
 class Quantised:
     """Codes of one byte, the step of each vector, and the lengths that bound the error."""
 
@@ -136,69 +81,120 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_tile(query_ids, queries, ids, vectors, k):
-    """Row of the query, vec_id and score of the k best candidates of each query."""
-    a, b = Quantised(queries), Quantised(vectors)
-    about = products(a, b)
-    # By Cauchy-Schwarz on what was left over; the last factor allows for rounding.
-    error = np.outer(a.left, b.size) + np.outer(a.size, b.left) + np.outer(a.left, b.left)
-    error = error * (1 + 1e-9) + 1e-12 * (np.outer(a.size + a.left, b.size + b.left)) + 1e-300
-    own = query_ids[:, None] == ids[None, :]
-    low = np.where(own, -np.inf, about - error)
-    if low.shape[1] > k:
-        least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-    else:
-        least = np.full(len(queries), -np.inf)
-    # Put this way round, sums that overflow survive as well.
-    where, which = np.nonzero(~(about + error < least[:, None]) & ~own)
-    score = np.concatenate(
-        [
-            inner(queries[where[i : i + PAIRS_AT_ONCE]], vectors[which[i : i + PAIRS_AT_ONCE]])
-            for i in range(0, len(where), PAIRS_AT_ONCE)
+class Search:
+    """A block of queries, and the k best candidates of each so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.parts = [
+            (slice(i, i + TILE_QUERIES), Quantised(vectors[i : i + TILE_QUERIES]))
+            for i in range(0, len(ids), TILE_QUERIES)
         ]
-        or [np.empty(0)]
-    )
-    border = np.searchsorted(where, np.arange(len(queries) + 1))
-    out = []
-    for q, (i, j) in enumerate(zip(border[:-1].tolist(), border[1:].tolist())):
-        best = heapq.nsmallest(k, zip((-score[i:j]).tolist(), ids[which[i:j]].tolist()))
-        out.extend((q, v, -s) for s, v in best)
-    return out
+        self.best: list[list[tuple[float, int]]] = [[] for _ in ids]  # (-score, vec_id)
+        self.least = np.full(len(ids), -np.inf)  # the k-th best score, once there are k
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Compare with one block of candidates."""
+        block = Quantised(vectors)
+        for rows, part in self.parts:
+            about = products(part, block)
+            # By Cauchy-Schwarz on what was left over; the last two terms allow for rounding.
+            error = np.outer(part.left, block.size + block.left) + np.outer(part.size, block.left)
+            error *= 1 + 1e-9
+            error += 1e-12 * np.outer(part.size + part.left, block.size + block.left) + 1e-300
+            own = self.ids[rows, None] == ids[None, :]
+            low = np.where(own, -np.inf, about - error)
+            least = self.least[rows]
+            if low.shape[1] > self.k:
+                at = low.shape[1] - self.k
+                least = np.maximum(least, np.partition(low, at, axis=1)[:, at])
+            # Put this way round, sums that overflow survive as well.
+            where, which = np.nonzero(~(about + error < least[:, None]) & ~own)
+            where += rows.start
+            score = np.concatenate(
+                [
+                    inner(self.vectors[where[i : i + PAIRS_AT_ONCE]], vectors[which[i : i + PAIRS_AT_ONCE]])
+                    for i in range(0, len(where), PAIRS_AT_ONCE)
+                ]
+                or [np.empty(0)]
+            )
+            new = np.flatnonzero(np.diff(where, prepend=-1))
+            found = list(zip((-score).tolist(), ids[which].tolist()))
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(where)]):
+                q = int(where[i])
+                best = self.best[q] = heapq.nsmallest(self.k, self.best[q] + found[i:j])
+                if len(best) == self.k:
+                    self.least[q] = -best[-1][0]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k candidates with the largest inner products."""
     rows, asked = usable(vectors), usable(queries).distinct()
-    n = max(1, -(-rows.count() // (BLOCK_ROWS // 2)))
-    m = max(1, -(-asked.count() // (BLOCK_ROWS // 2)))
+    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * (longest or 1))))
+    blocks = max(1, -(-n // block))
+
+    def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int, kind: int) -> DataFrame:
+        return df.select(
+            F.size("embedding").alias("dim"),
+            F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
+            F.lit(kind).alias("kind"),
+            "vec_id",
+            "embedding",
+        )
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, query_ids = (np.frombuffer(row[x], "<i8") for x in ("base_ids", "query_ids"))
-                base = np.frombuffer(row["base_vectors"], "<f8").reshape(len(ids), row["dim"])
-                query = np.frombuffer(row["query_vectors"], "<f8").reshape(len(query_ids), row["dim"])
-                found = search_tile(query_ids, query, ids, base, k)
-                digest = [xxhash.xxh64_intdigest(v.tobytes()) - (1 << 63) for v in query]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": pa.array([int(query_ids[q]) for q, _, _ in found], pa.int64()),
-                        "query_hash": pa.array([digest[q] for q, _, _ in found], pa.int64()),
-                        "vec_id": pa.array([v for _, v, _ in found], pa.int64()),
-                        "score": pa.array([s for _, _, s in found], pa.float64()),
-                    }
-                )
-
-    base = _blocks(rows, "base", n).withColumn(
-        "query_block", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    # A tile: its queries first, then its candidates, as many as there are.
+    tile = ["dim", "query_block", "part"]
+    tiles = (
+        dealt(asked, "query_block", blocks, "part", PARTS, 0)
+        .unionByName(dealt(rows, "part", PARTS, "query_block", blocks, 1))
+        .repartition(*tile)
+        .sortWithinPartitions(*tile, "kind")
     )
-    pairs = base.join(_blocks(asked, "query", m), ["dim", "query_block"])
-    # Each tile is a good deal of work for few bytes, so tiles are spread out.
-    found = pairs.repartition("dim", "base_block", "query_block").mapInArrow(tiles, FOUND)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, asked_ids, asked_vectors, state = None, [], [], None
+
+        def full() -> pa.RecordBatch:
+            digest = [xxhash.xxh64_intdigest(v.tobytes()) - (1 << 63) for v in state.vectors]
+            size = [len(b) for b in state.best]
+            flat = [x for b in state.best for x in b]
+            return pa.RecordBatch.from_pydict(
+                {
+                    "query_id": pa.array(np.repeat(state.ids, size), pa.int64()),
+                    "query_hash": pa.array(np.repeat(np.array(digest, np.int64), size)),
+                    "vec_id": pa.array([v for _, v in flat], pa.int64()),
+                    "score": pa.array([-s for s, _ in flat], pa.float64()),
+                }
+            )
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in [*tile, "kind"]], axis=1)
+            ids = batch.column("vec_id").to_numpy()
+            flat = batch.column("embedding").flatten().to_numpy()
+            ends = np.cumsum(keys[:, 0], dtype=np.int64)
+            border = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for a, b in zip([0, *border.tolist()], [*border.tolist(), len(keys)]):
+                here, kind, dim = tuple(keys[a, :3].tolist()), int(keys[a, 3]), int(keys[a, 0])
+                if here != of:
+                    if state is not None:
+                        yield full()
+                    of, asked_ids, asked_vectors, state = here, [], [], None
+                part = flat[ends[a] - dim : ends[b - 1]].reshape(-1, dim)
+                if kind == 0:
+                    asked_ids.append(ids[a:b].copy())
+                    asked_vectors.append(part.copy())
+                elif asked_ids:
+                    if state is None:
+                        state = Search(np.concatenate(asked_ids), np.concatenate(asked_vectors), k)
+                    for i in range(0, b - a, TILE_ROWS):
+                        state.add(ids[a + i : min(b, a + i + TILE_ROWS)], part[i : i + TILE_ROWS])
+        if state is not None:
+            yield full()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heap: list = []
-        of = None
+        of, heap = None, []
 
         def full() -> pa.RecordBatch:
             best = heapq.nsmallest(k, heap)
@@ -211,6 +207,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 }
             )
 
+        # A query has k rows from each part at most.
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:2] != of:
@@ -218,15 +215,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                         yield full()
                     of, heap = row[:2], []
                 heap.append((-row[3], row[2]))
-                if len(heap) >= 64 * k:
-                    heap = heapq.nsmallest(k, heap)
         if heap:
             yield full()
 
     return (
-        written(found)
+        tiles.mapInArrow(search, FOUND)
         .repartition("query_id", "query_hash")
         .sortWithinPartitions("query_id", "query_hash")
         .mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")
     )
-
