@@ -367,8 +367,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             "a", "b", F.pmod(F.xxhash64("b"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot")
         )
     )
-    involved = lots.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(texts.join(involved, "id", "left_semi"))
     centres = lots.select("a", "lot").distinct().join(texts, F.col("a") == F.col("id"))
     partners = lots.join(texts, F.col("b") == F.col("id"))
     rows = centres.select("a", "lot", F.lit(0).alias("kind"), "id", "text").unionByName(
@@ -451,7 +449,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = classes.select("id", F.col("n_shingles").alias("size"), "sketch")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text"))
     in_buckets = buckets(members)
-    links = written(confirmed(star_pairs(in_buckets, members), texts))
+    first = written(star_pairs(in_buckets, members))
+    # The documents are moved once, for all classes whose text may be asked for.
+    asked = (
+        first.select(F.explode(F.array("a", "b")).alias("id"))
+        .unionByName(in_buckets.where("n > 2").select("id"))
+        .distinct()
+    )
+    texts = written(texts.join(written(asked), "id", "left_semi"))
+    links = written(confirmed(first, texts))
     labels = components(links)
     more = written(confirmed(open_pairs(in_buckets, members, labels), texts))
     if not more.isEmpty():
