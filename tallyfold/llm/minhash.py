@@ -12,9 +12,10 @@ are equal about as often as the sets are similar.
     the likelihood of each similarity; pairs go on unless the least similarity wanted is
     e**EVIDENCE times less likely than the best. Those are confirmed on their full sets.
 4.  Confirmed links make components. Buckets that still hold more than one component have all
-    pairs of different components compared in the same way. Nothing is emitted for pairs of one
-    component, as a further link could not change the result, and each pair is emitted only for
-    the first band it shares. Large buckets are dealt out as tiles of two blocks.
+    pairs of different components compared in the same way, with one bit each of FINE further
+    registers, made for their classes alone. Nothing is emitted for pairs of one component, as a
+    further link could not change the result, and each pair is emitted only for the first band
+    it shares. Large buckets are dealt out as tiles of two blocks.
 5.  Links of both rounds make the final components.
 
 Rows, never groups, pass through a task: buckets are streamed in order, a tile holds twice
@@ -48,6 +49,7 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2  # spacing, rate and largest value of registers
 EVIDENCE = 20.0
+FINE = 2048  # further registers, of which one bit each is kept, where buckets stay open
 TILE = 256  # classes of a block
 LOT = 256  # partners of one class that are confirmed together
 BATCH_BYTES = 1 << 21
@@ -57,6 +59,8 @@ _BYTES = _RANDOM.integers(0, 1 << 63, size=256 * 64, dtype=np.uint64) * np.uint6
 _PLACES = _RANDOM.integers(0, 1 << 63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RANDOM.integers(0, 1 << 31, size=M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, size=M, dtype=np.uint32)
+_FINE_FACTORS = _RANDOM.integers(0, 1 << 31, size=FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_SHIFTS = _RANDOM.integers(0, 1 << 32, size=FINE, dtype=np.uint32)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -110,18 +114,24 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def registers(found: np.ndarray) -> np.ndarray:
+def registers(found: np.ndarray, factors=_FACTORS, shifts=_SHIFTS) -> np.ndarray:
     """The SetSketch of a set that is not empty."""
-    low = np.full(M, 0xFFFFFFFF, np.uint32)
+    low = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     thin = found.astype(np.uint32)
-    for i in range(0, len(thin), 1024):
-        part = np.multiply.outer(_FACTORS, thin[i : i + 1024])
-        part += _SHIFTS[:, None]
-        np.minimum(low, part.min(axis=1), out=low)
+    step = max(1, (1 << 17) // len(factors))
+    for i in range(0, len(thin), step):
+        part = np.multiply.outer(thin[i : i + step], factors)
+        part += shifts
+        np.minimum(low, part.min(axis=0), out=low)
     least = -np.log1p(-(low.astype(float) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
+def fine_bits(found: np.ndarray) -> bytes:
+    """The lowest bit of each further register."""
+    return np.packbits(registers(found, _FINE_FACTORS, _FINE_SHIFTS) & 1).tobytes()
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """A hash of the registers of each band, for every row."""
     bands = sketch.reshape(len(sketch), BANDS, ROWS).astype(np.uint64)
@@ -131,11 +141,19 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return total
 
 
-def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+def likely(
+    a: np.ndarray,
+    b: np.ndarray,
+    size_a: np.ndarray,
+    size_b: np.ndarray,
+    agreed: np.ndarray | None = None,
+) -> np.ndarray:
     """Which pairs of sketches may have the similarity wanted, by a likelihood ratio.
 
     With u and v the sizes as shares of their sum, a register of the first set is the larger
     one with chance p(u - v * J), of the second with p(v - u * J), and they are equal else.
+    ``agreed`` counts equal fine bits: a bit is equal with chance (1 + J) / 2, as registers
+    that differ agree in it half of the time.
     """
     larger = (a > b).sum(axis=1)
     smaller = (a < b).sum(axis=1)
@@ -157,6 +175,9 @@ def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray)
         + smaller[:, None] * np.log(np.clip(less, 1e-12, 1))
         + equal[:, None] * np.log(same)
     )
+    if agreed is not None:
+        value += agreed[:, None] * np.log((1 + j) / 2)
+        value += (FINE - agreed)[:, None] * np.log(np.maximum((1 - j) / 2, 1e-12))
     wanted = grid >= PERCENT / 100
     near = value[:, wanted].max(axis=1) >= value.max(axis=1) - EVIDENCE
     return near & (100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b))
@@ -228,6 +249,7 @@ def tile_pairs(table: pa.Table) -> pa.Table:
     ends = np.append(new[1:], table.num_rows)
     left = np.repeat(ends, ends - new) - np.arange(table.num_rows)  # rows from here to the end
     sketch, size, ids = _matrix(table), table["size"].to_numpy(), table["id"].to_numpy()
+    fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, FINE // 64)
     label, block = table["label"].to_numpy(), table["block"].to_numpy()
     one, two, band = table["one"].to_numpy(), table["two"].to_numpy(), table["band"].to_numpy()
     out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -246,7 +268,8 @@ def tile_pairs(table: pa.Table) -> pa.Table:
             same = (sketch[x] == sketch[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
             stay = same.argmax(axis=1) == band[x]
             x, y = x[stay], y[stay]
-            stay = likely(sketch[x], sketch[y], size[x], size[y])
+            agreed = FINE - np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1, dtype=np.int64)
+            stay = likely(sketch[x], sketch[y], size[x], size[y], agreed)
             out_a.append(ids[x[stay]])
             out_b.append(ids[y[stay]])
     a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -311,7 +334,27 @@ def star_pairs(in_buckets: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def open_pairs(in_buckets: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def refined(ids: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, size, sketch, fine`` of the classes named."""
+
+    def run(batch):
+        sets = shingles([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+        return {
+            "id": batch.column("id"),
+            "size": batch.column("size"),
+            "sketch": batch.column("sketch"),
+            "fine": [fine_bits(s) if len(s) else bytes(FINE // 8) for s in sets],
+        }
+
+    rows = texts.join(ids, "id", "left_semi").join(members, "id")
+    return arrow_map(
+        rows.select("id", "size", "sketch", "text"), run, "id bigint, size bigint, sketch binary, fine binary"
+    )
+
+
+def open_pairs(
+    in_buckets: DataFrame, members: DataFrame, labels: DataFrame, texts: DataFrame
+) -> DataFrame:
     """``a, b``: similar pairs of different components, in buckets that hold several."""
     labels = labels.withColumnRenamed("id", "of")
     labelled = in_buckets.join(labels, F.col("id") == F.col("of"), "left").select(
@@ -325,17 +368,18 @@ def open_pairs(in_buckets: DataFrame, members: DataFrame, labels: DataFrame) ->
         .where("low < high")
         .select("band", "key")
     )
+    open_rows = written(labelled.join(unsettled, ["band", "key"]))
+    finer = written(refined(open_rows.select("id").distinct(), members, texts))
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = (
-        labelled.join(unsettled, ["band", "key"])
-        .join(members, "id")
+        open_rows.join(finer, "id")
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", other)
         .select(
             "band", "key", F.least("block", "other").alias("one"),
-            F.greatest("block", "other").alias("two"), "block", "id", "label", "size", "sketch",
+            F.greatest("block", "other").alias("two"), "block", "id", "label", "size", "sketch", "fine",
         )
     )
     keys = ["band", "key", "one", "two"]
@@ -459,7 +503,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = written(texts.join(written(asked), "id", "left_semi"))
     links = written(confirmed(first, texts))
     labels = components(links)
-    more = written(confirmed(open_pairs(in_buckets, members, labels), texts))
+    more = written(confirmed(open_pairs(in_buckets, members, labels, texts), texts))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = written(
