@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,21 @@ from tallyfold.llm.common import id_remainder
 from tallyfold.sources import read_table
 
 
+def _importable(query: Callable[[SparkSession, str], DataFrame]):
+    """The query, with this library on the path of Python workers wherever the driver was started."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = str(Path(__file__).resolve().parents[2])
+        environment = spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if own not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([*paths, own])
+        return query(spark, sf_dir)
+
+    return run
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
@@ -160,7 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_bpe_round_trip,
         pipeline,
     )
-    return {query.__name__: query for query in own}
+    return {query.__name__: _importable(query) for query in own}
 
 
 def oracle_sql() -> dict[str, str]:
