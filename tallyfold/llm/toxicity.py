@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained. Both hold what is common in ordinary text; the toxic
-one also holds what toxic texts have and ordinary ones lack. A text is cut into windows at
-white space, each is compressed with either dictionary, and the bytes the toxic one saves are
-compared with thresholds calibrated on labelled texts that trained neither dictionary. Saved
-bytes of all windows, and the largest, give the score by a logistic curve.
+Two zstandard dictionaries are trained. Both hold the commonest words of ordinary texts; the
+toxic one also holds starts of words that toxic texts have far more often, with their commonest
+endings. A text is cut into windows at white space, each is compressed with either dictionary,
+and the bytes the toxic one saves are compared with thresholds calibrated on labelled texts that
+did not train the dictionaries used (two folds). Saved bytes of all windows, and the largest,
+give the score by a logistic curve.
 
 Contract: null and empty texts have no windows and the score of a text that saves nothing.
 Labels that are null, or not 0 or 1, teach nothing. With one class only in the labels, every
@@ -16,6 +17,10 @@ everything else covers all rows.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -23,21 +28,39 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import arrow_map, rows_where, whole_text, written
 
-DOCS_PER_LABEL = 2500
+DOCS_PER_LABEL = 1500
 SAMPLE_CHARS = 16 << 20
 WINDOW = 48  # bytes, then up to the next blank
-GRAM = 4  # bytes of the pieces that are compared between the labels
-STEM_ODDS = 25.0  # the same for whole stems, against every occurrence
-ODDS = 6.0  # how many times likelier a piece is in toxic texts to be told apart
-SURE = 6.0
+HEAD = 6  # bytes of a word that are told from the inside of other words
+SHORTEST, LONGEST = 4, 12  # bytes of a start of a word
+ODDS = 20.0  # how many times likelier it must be in toxic texts
+SURE = 25.0  # log-likelihood that this is no chance, for a Poisson count
+ENDINGS = 40  # of a start that the dictionary holds
+FOLDS = 2
 COMMON_BYTES, TOXIC_BYTES = 6 << 10, 10 << 10
 LEVEL = 5
 FALSE_ALARM = 3.0
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+
 
+def view(text: str) -> bytes:
+    """Lower-case bytes, but the first HEAD of each word as capitals.
 
-def windows(text: str) -> list[bytes]:
-    """Pieces of the lower-case text, cut at blanks where there are any."""
-    data = text.lower().encode()
+    So the start of a word never matches the inside of another.
+    """
+    data = np.frombuffer(text.lower().encode(), np.uint8)
+    if not len(data):
+        return b""
+    letter = _LETTER[data]
+    at = np.arange(len(data), dtype=np.int32)
+    first = np.maximum.accumulate(np.where(letter, -1, at))  # the last byte that is no letter
+    small = (at - first <= HEAD) & (data >= 97) & (data <= 122)
+    return (data - (small * np.uint8(32))).tobytes()
+
+
+def windows(data: bytes) -> list[bytes]:
+    """Pieces cut at blanks where there are any."""
     out, at = [], 0
     while at < len(data):
         stop = data.find(b" ", at + WINDOW, at + 2 * WINDOW)
@@ -47,76 +70,58 @@ def windows(text: str) -> list[bytes]:
     return out
 
 
-def gram_docs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of GRAM bytes, as numbers, and in how many texts each is."""
-    found = []
-    for text in texts:
-        data = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint64)
-        if len(data) >= GRAM:
-            n = len(data) - GRAM + 1
-            code = np.zeros(n, np.uint64)
-            for i in range(GRAM):
-                code = code << np.uint64(8) | data[i : i + n]
-            found.append(np.unique(code))
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(np.concatenate(found), return_counts=True)
-
-
-def toxic_pieces(toxic: list[str], ordinary: list[str]) -> dict[bytes, int]:
-    """Pieces of GRAM bytes that toxic texts have far more often, and in how many."""
-    pieces, times = gram_docs(toxic)
-    other, other_times = gram_docs(ordinary)
-    at = np.searchsorted(other, pieces)
-    inside = at < len(other)
-    base = np.zeros(len(pieces))
-    same = np.zeros(len(pieces), bool)
-    same[inside] = other[at[inside]] == pieces[inside]
-    base[same] = other_times[at[same]]
-    odds = (times / max(1, len(toxic))) / ((base + 0.5) / max(1, len(ordinary)))
-    # So many more texts than chance would have them in, in standard deviations.
-    expected = (base + 0.5) * len(toxic) / max(1, len(ordinary))
-    told = (odds >= ODDS) & (times - expected >= SURE * np.sqrt(expected + 0.25))
-    return {
-        int(c).to_bytes(GRAM, "big"): int(n) for c, n in zip(pieces[told], times[told]) if b" " not in
-        int(c).to_bytes(GRAM, "big")
-    }
-
-
-def stems(toxic: list[str], ordinary: list[str], told: dict[bytes, int]) -> list[bytes]:
-    """Parts of words made of telling pieces that are about as frequent, best first.
-
-    What comes before or after such a part varies, as its pieces are much rarer.
+_WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
+
+
+def starts(texts: list[bytes]) -> tuple[Counter, int]:
+    """How often each start of a word occurs, and how many words there are.
+
+    A word with the word after it counts once in all texts, so that copies add nothing.
     """
-    found: dict[bytes, int] = {}
-    n_toxic = max(1, len(toxic))
-    for word in word_docs(toxic):
-        times = [told.get(word[i : i + GRAM], 0) for i in range(len(word) - GRAM + 1)]
-        top = max(times, default=0)
-        if top:
-            a = b = times.index(top)
-            while a and times[a - 1] >= top / 2:
-                a -= 1
-            while b + 1 < len(times) and times[b + 1] >= top / 2:
-                b += 1
-            found[word[a : b + GRAM]] = top
-    joined = b"\n".join(t.lower().encode() for t in ordinary)
+    pairs = set()
+    for text in texts:
+        words = _WORD.findall(text)
+        pairs.update(zip(words, [*words[1:], b""]))
+    words = Counter(word for word, _ in pairs)
+    times: Counter = Counter()
+    for word, n in words.items():
+        for size in range(SHORTEST, min(len(word), LONGEST) + 1):
+            times[word[:size]] += n
+    return times, len(pairs)
+
+
+def stems(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Starts of words that toxic texts have far more often, best first; none begins another."""
+    times, n_toxic = starts(toxic)
+    base, n_ordinary = starts(ordinary)
+    found = {}
+    for stem, n in times.items():
+        expected = (base[stem] + 0.5) * n_toxic / max(1, n_ordinary)
+        sure = n * math.log(n / expected) - (n - expected) if n > expected else 0.0
+        if n >= ODDS * expected and sure >= SURE:
+            found[stem] = sure
     chosen: list[bytes] = []
     for stem in sorted(found, key=lambda x: (-found[x], -len(x), x)):
-        if any(stem in other for other in chosen):
-            continue
-        usual = (joined.count(stem) + 0.5) / max(1, len(ordinary))
-        if found[stem] / n_toxic >= STEM_ODDS * usual:
+        # As long as nearly all words that begin so go on alike.
+        longer = [x for x in found if x.startswith(stem) and times[x] >= 0.9 * times[stem]]
+        stem = max(longer, key=lambda x: (len(x), x))
+        if not any(stem.startswith(x) or x.startswith(stem) for x in chosen):
             chosen.append(stem)
-    return chosen
+    # With what follows, as far as it cannot match the inside of a word: longer matches save more.
+    out = []
+    ratio = ODDS * n_toxic / max(1, n_ordinary)
+    for stem in chosen:
+        on = [x for x in times if len(x) == HEAD + 2 and x.startswith(stem) and times[x] > 1]
+        on = [x for x in on if times[x] >= ratio * (base[x] + 0.5)]
+        out += sorted(on, key=lambda x: (-times[x], x))[:ENDINGS] or [stem]
+    return out
 
 
-def word_docs(texts: list[str]) -> dict[bytes, int]:
-    times: dict[bytes, int] = {}
+def common_words(texts: list[bytes]) -> list[bytes]:
+    times: Counter = Counter()
     for text in texts:
-        for word in set(text.lower().encode().split()):
-            times[word] = times.get(word, 0) + 1
-    return times
+        times.update(set(text.split()))
+    return sorted(times, key=lambda w: (-times[w], w))
 
 
 def dictionary(words: list[bytes], size: int) -> bytes:
@@ -158,7 +163,7 @@ class Compressors:
                     zstandard.ZstdCompressor(dict_data=given, compression_params=how).compress
                 )
         toxic, ordinary = self._ready
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], float)
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(view(text))], float)
 
 
 def evidence(saved: np.ndarray, threshold: float) -> np.ndarray:
@@ -189,27 +194,38 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> n
     return w
 
 
+def trained(views: list[bytes], y: np.ndarray, use: np.ndarray) -> Compressors:
+    """Dictionaries of the texts to use."""
+    toxic, ordinary = ([v for v, a, u in zip(views, y, use) if a == label and u] for label in (1, 0))
+    usual = dictionary(common_words(ordinary), COMMON_BYTES)
+    own = dictionary(stems(toxic, ordinary), TOXIC_BYTES)
+    # Filled up to the same length, so that common words cost the same with either.
+    return Compressors(usual + own, usual + bytes([1]) * len(own))
+
+
 class Model:
     def __init__(self, texts: list[str], toxic: np.ndarray):
         self.share = float(toxic.mean()) if len(toxic) else 0.0
         self.compressors = None
         if not 0 < self.share < 1:
             return
-        # Texts come in no order; every other one of each label trains, the rest calibrates.
-        by_label = [[t for t, y in zip(texts, toxic) if y == label] for label in (0, 1)]
-        teach = [rows[::2] if len(rows) > 1 else rows for rows in by_label]
-        check = [rows[1::2] if len(rows) > 1 else rows for rows in by_label]
-        told = toxic_pieces(teach[1], teach[0])
-        common = word_docs(teach[0])
-        chosen = stems(teach[1], teach[0], told)
-        usual = dictionary(sorted(common, key=lambda w: (-common[w], w)), COMMON_BYTES)
-        # Filled up to the same length, so that common words cost the same with either.
-        own = dictionary(chosen, TOXIC_BYTES)
-        self.compressors = Compressors(usual + own, usual + bytes([1]) * len(own))
-        saved = [self.compressors.saved(t) for t in check[0] + check[1]]
-        y = np.array([0.0] * len(check[0]) + [1.0] * len(check[1]))
+        # Texts come in no order. Each fold is calibrated with dictionaries of the others.
+        y = np.asarray(toxic, float)
+        views = [view(t) for t in texts]
+        fold = np.zeros(len(texts), int)
+        for label in (0, 1):
+            fold[y == label] = np.arange(int((y == label).sum())) % FOLDS
+        saved: list[np.ndarray] = [np.empty(0)] * len(texts)
+        for part in range(FOLDS):
+            rest = fold != part
+            if not 0 < y[rest].sum() < rest.sum():
+                rest[:] = True
+            own = trained(views, y, rest)
+            for i in np.flatnonzero(fold == part):
+                saved[i] = own.saved(texts[i])
+        self.compressors = trained(views, y, np.ones(len(texts), bool))
         best = None
-        for threshold in range(2, 13):
+        for threshold in range(1, 13):
             x = np.array([evidence(s, threshold) for s in saved])
             w = fit(x, y)
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -237,8 +253,10 @@ def learn(documents: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PE
     limit = F.when(F.col("toxic") == 1, limits.get(1, 0)).otherwise(limits.get(0, 0))
     # Written, so that Spark sees how small it is and leaves the documents where they are.
     sample = written(marks.where(place < limit))
-    found = documents.join(sample, F.col("doc_id") == F.col("of")).select("of", "toxic", "text")
-    rows = found.where(F.col("text").isNotNull()).toArrow()
+    texts = documents.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("bigint").alias("id"), "text"
+    )
+    rows = texts.join(sample, F.col("id") == F.col("of")).select("of", "toxic", "text").toArrow()
     order = sorted(
         range(rows.num_rows),
         key=lambda i: (hash_of(rows["of"][i].as_py()), rows["toxic"][i].as_py(), rows["text"][i].as_py()),
