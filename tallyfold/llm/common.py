@@ -33,10 +33,21 @@ def id_remainder(n: int, name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("null"))) % n
 
 
+PART_ROWS = 1024  # of a batch that become Python objects at a time
+
+
+def parts(batch: pa.RecordBatch, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def arrow_map(
-    df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, Any]], schema: str
+    df: DataFrame,
+    function: Callable[[pa.RecordBatch], dict[str, Any]],
+    schema: str,
+    rows: int = PART_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one batch that returns columns by name."""
+    """``mapInArrow`` with a function of some rows that returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -44,8 +55,8 @@ def arrow_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = function(batch)
+            for part in parts(batch, rows):
+                columns = function(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
                 )
@@ -58,8 +69,9 @@ def rows_where(df: DataFrame, test: Callable[[str], bool]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            passed = [test(t or "") for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(passed, pa.bool_()))
+            for part in parts(batch):
+                passed = [test(t or "") for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(passed, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

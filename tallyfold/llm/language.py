@@ -147,9 +147,8 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
         lang, bucket = np.nonzero(totals)
         return {"lang": lang, "bucket": bucket, "n": totals[lang, bucket]}
 
-    summed = arrow_map(sample, count, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(
-        F.sum("n").alias("n")
-    )
+    counts_of = arrow_map(sample, count, "lang int, bucket int, n bigint", rows=1 << 20)
+    summed = counts_of.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = summed.toArrow()  # at most BUCKETS rows for each language
     counts = np.zeros((len(names), BUCKETS))
     counts[table["lang"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()

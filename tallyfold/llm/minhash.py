@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import arrow_map, sizes_within, whole_text, written
+from tallyfold.llm.common import arrow_map, parts, sizes_within, whole_text, written
 
 WORDS = 5
 PERCENT = 85  # 100 * intersection >= PERCENT * union
@@ -205,7 +205,7 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _streamed(
-    df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table | None], schema: str
+    df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table], schema: str
 ) -> DataFrame:
     """Apply a function to runs of whole groups; rows must come sorted by the keys."""
 
@@ -216,12 +216,12 @@ def _streamed(
             held = table if held is None else pa.concat_tables([held, table])
             new = _borders(held, keys)
             if len(new) > 1:
-                yield from (function(held.slice(0, new[-1])) or held.slice(0, 0)).to_batches()
+                yield from function(held.slice(0, new[-1])).to_batches()
                 held = held.slice(new[-1])
         if held is not None and held.num_rows:
-            yield from (function(held) or held.slice(0, 0)).to_batches()
+            yield from function(held).to_batches()
 
-    return df.mapInArrow(lambda batches: (b for b in run(batches) if b.num_rows), schema)
+    return df.mapInArrow(run, schema)
 
 
 def _borders(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -420,7 +420,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres: list[np.ndarray] = []  # more than one only where rows share a doc_id
         of = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             sets = shingles([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             kind, lot = batch.column("kind").to_pylist(), batch.column("lot").to_pylist()
             a, b = batch.column("a").to_pylist(), batch.column("id").to_pylist()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import whole_text
+from tallyfold.llm.common import parts, whole_text
 from tallyfold.llm.words import encoder, library
 
 WINDOW = 1024
@@ -151,7 +151,7 @@ def packed(documents: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         def full() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict(pieces(docs, ids, is_end, sequence))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             names = batch.column("doc_id").to_pylist()
             for rows, flat, lengths in own.batches(batch.column("text").to_pylist()):
                 for doc, run_ids in zip(names[rows], np.split(flat, np.cumsum(lengths)[:-1])):

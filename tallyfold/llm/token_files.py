@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import whole_text, written
+from tallyfold.llm.common import parts, whole_text, written
 from tallyfold.llm.words import encoder
 from tallyfold.sources import new_shared_folder
 
@@ -179,7 +179,7 @@ def write_ids(documents: DataFrame, path: str, folder: str, end_id: int = 2) ->
                 schema=schema,
             )
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             names = batch.column("doc_id").to_pylist()
             for rows, flat, lengths in own.batches(batch.column("text").to_pylist()):
                 for doc, run_ids in zip(names[rows], np.split(flat, np.cumsum(lengths)[:-1])):
