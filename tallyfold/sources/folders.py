@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+WAREHOUSE_SETTING = "spark.sql.warehouse.dir"
 
 
 def new_shared_folder(spark: SparkSession) -> str:
-    """A new path under the folder the cluster names in ``spark.checkpoint.dir``.
+    """A new path under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
 
-    Where the setting is missing, a temporary folder serves in local mode, the
-    only mode in which every task sees it. A cluster must name its own.
+    The rule is the same for every master. The cluster names both folders, and both are
+    shared.
     """
-    base = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tallyfold-")
+    base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.conf.get(WAREHOUSE_SETTING)
     return f"{base.rstrip('/')}/tallyfold-{uuid.uuid4().hex}"
