@@ -1,3 +1,3 @@
-from tallyfold.functions.columns import month_start, whole_units
+from tallyfold.functions.columns import UNITS, exact_units, month_start
 
-__all__ = ["month_start", "whole_units"]
+__all__ = ["UNITS", "exact_units", "month_start"]

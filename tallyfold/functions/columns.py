@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+UNITS = "decimal(28,6)"
+
 
 def month_start(when: Column) -> Column:
     """The first of the month, as a date.
@@ -16,14 +18,10 @@ def month_start(when: Column) -> Column:
     return F.trunc(when.cast("date"), "month")
 
 
-def whole_units(quantity: Column) -> Column:
-    """A whole quantity as ``bigint``, so that sums are exact in any order.
+def exact_units(quantity: Column) -> Column:
+    """A quantity as a decimal of up to 22 whole digits and 6 places, so sums are exact in any order.
 
-    Fractions, NaN and infinities raise an error, as a cast would cut them off
-    in silence. Nulls stay null.
+    Further places are rounded half up. Nulls stay null; NaN, infinities and quantities of more
+    digits have no decimal and count as null, so that one of them does not end a job or a stream.
     """
-    return F.when(
-        quantity.isNull() | (quantity == F.floor(quantity)), quantity.cast("bigint")
-    ).otherwise(
-        F.raise_error(F.concat(F.lit("quantity is not whole: "), quantity.cast("string")))
-    )
+    return quantity.try_cast(UNITS)

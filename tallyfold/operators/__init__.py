@@ -1,4 +1,4 @@
 from tallyfold.operators.lines import monthly_lines
-from tallyfold.operators.totals import add_up, total_units
+from tallyfold.operators.totals import TOTAL_UNITS, add_up, total_units
 
-__all__ = ["add_up", "monthly_lines", "total_units"]
+__all__ = ["TOTAL_UNITS", "add_up", "monthly_lines", "total_units"]

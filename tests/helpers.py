@@ -5,6 +5,7 @@ import io
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 LINES = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, l_shipdate timestamp_ntz"
 PARTS = "p_partkey bigint, p_brand string"
@@ -23,7 +24,7 @@ def some_lines(n, seed=0, n_parts=12):
             rng.randrange(1, 4),
             # a third of all lines fall to one part
             or_null(3 if rng.random() < 1 / 3 else rng.randrange(n_parts + 4)),
-            or_null(float(rng.randrange(1, 51))),
+            or_null(rng.choice([1, 1, 0.1, 0.125]) * rng.randrange(1, 51) // 0.001 / 1000),
             or_null(datetime(2023, 11, 1) + timedelta(seconds=rng.randrange(200 * 86400))),
         )
         for _ in range(n)
@@ -43,13 +44,17 @@ def brute_force(lines, parts):
         key = (brands[part], when and datetime(when.year, when.month, 1))
         n_lines[key] += 1
         if quantity is not None:
-            units[key].append(int(quantity))
+            units[key].append(Decimal(repr(quantity)))
     return as_sorted((*k, sum(units[k]) if units[k] else None, n) for k, n in n_lines.items())
 
 
 def as_sorted(rows):
-    """Rows as plain tuples in one order; repeated rows stay repeated."""
-    return sorted((tuple(row) for row in rows), key=repr)
+    """Rows as plain tuples in one order, decimals cut to their digits; repeats stay repeated."""
+
+    def plain(value):
+        return value.normalize() if isinstance(value, Decimal) else value
+
+    return sorted((tuple(map(plain, row)) for row in rows), key=repr)
 
 
 def rows(df):

@@ -1,4 +1,5 @@
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from hypothesis import given
@@ -6,7 +7,7 @@ from hypothesis import settings as limits
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyfold.functions import month_start, whole_units
+from tallyfold.functions import UNITS, exact_units, month_start
 
 EDGES = [
     datetime(2024, 2, 29, 23, 59, 59, 999999),
@@ -30,16 +31,22 @@ def test_month_start_ignores_the_session_zone(spark, settings, zone):
 
 
 @limits(max_examples=10, deadline=None)
-@given(values=st.lists(st.none() | st.integers(-(2**53), 2**53), min_size=1))
-def test_whole_units_keeps_whole_numbers_and_nulls(spark, values):
-    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "q double")
-    result = df.select(whole_units(F.col("q")).alias("q"))
-    assert result.dtypes == [("q", "bigint")]
-    assert [r.q for r in result.collect()] == values
+@given(values=st.lists(st.none() | st.integers(-(10**15), 10**15), min_size=1))
+def test_exact_units_keeps_fractions_and_nulls(spark, values):
+    """Up to three places here, as many as a double of this size holds."""
+    numbers = [None if v is None else v / 1000 for v in values]
+    df = spark.createDataFrame([(v,) for v in numbers], "q double")
+    result = df.select(exact_units(F.col("q")).alias("q"))
+    assert result.dtypes == [("q", UNITS)]
+    assert [r.q for r in result.collect()] == [v if v is None else Decimal(repr(v)) for v in numbers]
 
 
-@pytest.mark.parametrize("value", [0.5, -1.25, float("nan"), float("inf"), float("-inf")])
-def test_whole_units_refuses_what_a_cast_would_change(spark, value):
+def test_a_tenth_adds_up_exactly_in_any_order(spark):
+    df = spark.range(0, 1000, 1, 7).select(F.lit(0.1).alias("q"))
+    assert df.agg(F.sum(exact_units(F.col("q")))).first()[0] == Decimal(100)
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), float("-inf"), 1e30])
+def test_what_is_no_decimal_counts_as_null(spark, value):
     df = spark.createDataFrame([(1.0,), (value,)], "q double")
-    with pytest.raises(Exception, match="quantity is not whole"):
-        df.select(whole_units(F.col("q"))).collect()
+    assert [r.q for r in df.select(exact_units(F.col("q")).alias("q")).collect()] == [1, None]
