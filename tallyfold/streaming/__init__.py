@@ -1,3 +1,3 @@
-from tallyfold.streaming.units import start_units_stream, units_so_far
+from tallyfold.streaming.units import drop_merged, merge_totals, start_units_stream, units_so_far
 
-__all__ = ["start_units_stream", "units_so_far"]
+__all__ = ["drop_merged", "merge_totals", "start_units_stream", "units_so_far"]

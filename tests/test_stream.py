@@ -1,10 +1,13 @@
+import os
 import shutil
+import time
 
 import pytest
 from helpers import LINES, PARTS, brute_force, plan_of, rows, some_lines, some_parts
 
 from tallyfold.sources import read_table, stream_table
-from tallyfold.streaming import start_units_stream, units_so_far
+from tallyfold.plans import units_by_brand_month
+from tallyfold.streaming import drop_merged, merge_totals, start_units_stream, units_so_far
 
 
 class Shop:
@@ -149,3 +152,98 @@ def test_the_stream_reads_only_the_columns_used(shop):
     shop.add_lines(some_lines(100))
     plan = plan_of(shop.run())
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_shipdate:timestamp_ntz>" in plan
+
+
+def test_a_file_older_than_the_rest_is_read(shop):
+    shop.add_parts(some_parts())
+    shop.add_lines(some_lines(200))
+    shop.run()
+    before = set(os.listdir(f"{shop.root}/lineitem.parquet"))
+    shop.add_lines(some_lines(150, seed=1))
+    years_ago = time.time() - 9 * 365 * 86400
+    for name in set(os.listdir(f"{shop.root}/lineitem.parquet")) - before:
+        os.utime(f"{shop.root}/lineitem.parquet/{name}", (years_ago, years_ago))
+    shop.run()
+    assert shop.report() == shop.expected()
+    shop.run()
+    assert shop.report() == shop.expected()
+
+
+@pytest.mark.parametrize("column", ["l_shipdate", "l_partkey", "l_linenumber"])
+def test_a_partitioned_table_is_read(spark, shop, column):
+    shop.add_parts(some_parts())
+    lines = [line for line in some_lines(60) if line[4] is not None and line[2] is not None]
+    df = spark.createDataFrame(lines, LINES)
+    df.write.partitionBy(column).parquet(f"{shop.root}/lineitem.parquet")
+    shop.start({"availableNow": True}, None).stop()
+    query = start_units_stream(
+        stream_table(spark, shop.root, "lineitem"), shop.read_part, shop.folder, {"availableNow": True}
+    )
+    query.awaitTermination()
+    whole = units_by_brand_month(
+        read_table(spark, shop.root, "lineitem"), read_table(spark, shop.root, "part")
+    )
+    assert shop.report() == rows(whole) and shop.report()
+
+
+def unfinish(shop, batch):
+    """As in the middle of writing a batch: some of its files, and no mark that it is whole."""
+    folder = f"{shop.folder}/totals/batch_id={batch}"
+    for name in os.listdir(folder):
+        if "SUCCESS" in name:
+            os.remove(f"{folder}/{name}")
+
+
+def test_a_batch_being_written_is_left_out(shop):
+    shop.add_parts(some_parts())
+    shop.add_lines(some_lines(300), files=2)
+    shop.run()
+    before = shop.report()
+    shop.add_lines(some_lines(100, seed=1))
+    shop.run()
+    assert shop.report() != before
+    unfinish(shop, 2)
+    assert shop.report() == before
+    # Run again from the start, as after a crash, it is whole again.
+    for name in ("2", ".2.crc"):
+        os.remove(f"{shop.folder}/checkpoint/commits/{name}")
+    shop.run()
+    assert shop.report() == shop.expected()
+
+
+def test_merged_totals_change_no_report(shop):
+    shop.add_parts(some_parts()[:8])
+    for seed in range(3):
+        shop.add_lines(some_lines(150, seed), files=2)
+        shop.run()
+    assert merge_totals(shop.spark, shop.folder) == 4
+    assert shop.report() == shop.expected()
+    shop.add_parts(some_parts()[8:])
+    shop.add_lines(some_lines(150, seed=5), files=3)
+    shop.run()
+    # A merge that was left unfinished is not read.
+    assert merge_totals(shop.spark, shop.folder) == 7
+    for name in os.listdir(f"{shop.folder}/merged/upto=7"):
+        if "SUCCESS" in name:
+            os.remove(f"{shop.folder}/merged/upto=7/{name}")
+    assert shop.report() == shop.expected()
+    assert merge_totals(shop.spark, shop.folder) == 7
+    drop_merged(shop.spark, shop.folder)
+    assert shop.report() == shop.expected()
+    assert os.listdir(f"{shop.folder}/merged") == ["upto=7"]
+    assert os.listdir(f"{shop.folder}/totals") == ["batch_id=8"]
+    shop.add_lines(some_lines(150, seed=6))
+    shop.run()
+    assert shop.report() == shop.expected()
+
+
+def test_a_stream_goes_on_after_odd_quantities(shop):
+    odd = [(1, 1, 3, q, some_lines(1)[0][4]) for q in (0.5, 0.25, float("nan"), float("inf"))]
+    shop.add_parts(some_parts())
+    shop.add_lines(odd[:2])
+    shop.run()
+    assert shop.report() == shop.expected()
+    shop.spark.createDataFrame(odd[2:], LINES).write.mode("append").parquet(f"{shop.root}/lineitem.parquet")
+    shop.lines += [(*line[:3], None, line[4]) for line in odd[2:]]
+    shop.run()
+    assert shop.report() == shop.expected()

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from conftest import TESTDATA
 from tallyfold.operators import add_up, monthly_lines, total_units
 from tallyfold.plans import units_by_brand_month
-from tallyfold.sources import read_table
+from tallyfold.sources import read_table, stream_table
+from tallyfold.streaming import units
 from tallyfold.streaming.units import _batch_totals
 
 
@@ -75,26 +76,57 @@ def test_parts_over_the_threshold_are_not_broadcast(spark, settings):
     assert "Exchange hashpartitioning(l_partkey" in plan
 
 
-@pytest.mark.parametrize("plan", [units_by_brand_month, stream_batch])
-def test_a_part_with_a_third_of_all_lines_is_split(spark, settings, tmp_path, plan):
-    lineitem, part = tables(spark)
+def hot_lines(spark, path):
+    """Lines of which a third fall to one part, in several files."""
+    lineitem, _ = tables(spark)
     hot = F.when(F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice") % 3 == 0, F.lit(77))
-    hot_path = str(tmp_path / "lineitem.parquet")
     lineitem.withColumn("l_partkey", hot.otherwise(F.col("l_partkey"))).repartition(
         8
-    ).write.parquet(hot_path)
-    lineitem = spark.read.parquet(hot_path)
+    ).write.parquet(path)
+    lineitem = spark.read.parquet(path)
     assert lineitem.where("l_partkey = 77").count() > lineitem.count() / 4
-    expected = rows(plan(lineitem, part))
+    return lineitem
 
-    settings(
-        spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20k",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="20k",
-        spark__sql__files__maxPartitionBytes="100k",
-    )
-    result = plan(spark.read.parquet(hot_path), part)
+
+SPLIT = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "20k",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "20k",
+    "spark__sql__files__maxPartitionBytes": "100k",
+}
+
+
+@pytest.mark.parametrize("plan", [units_by_brand_month, stream_batch])
+def test_a_part_with_a_third_of_all_lines_is_split(spark, settings, tmp_path, plan):
+    lineitem, part = hot_lines(spark, str(tmp_path / "lineitem.parquet")), tables(spark)[1]
+    expected = rows(plan(lineitem, part))
+    settings(**SPLIT)
+    result = plan(spark.read.parquet(str(tmp_path / "lineitem.parquet")), part)
     assert rows(result) == expected
     assert "skew=true" in plan_of(result).split("Initial Plan")[0]
+
+
+def test_the_stream_splits_that_part_inside_its_batches(spark, settings, tmp_path, monkeypatch):
+    lineitem, part = hot_lines(spark, str(tmp_path / "lineitem.parquet")), tables(spark)[1]
+    expected = rows(units_by_brand_month(lineitem, part))
+    plans = []
+
+    def seen(lines, part):
+        totals = _batch_totals(lines, part)
+        totals.collect()
+        plans.append(plan_of(totals).split("Initial Plan")[0])
+        return totals
+
+    monkeypatch.setattr(units, "_batch_totals", seen)
+    settings(**SPLIT)
+    query = units.start_units_stream(
+        stream_table(spark, str(tmp_path), "lineitem"),
+        lambda session: read_table(session, f"{TESTDATA}/sf0.01", "part"),
+        str(tmp_path / "stream"),
+        {"availableNow": True},
+    )
+    query.awaitTermination()
+    assert len(plans) == 1 and "skew=true" in plans[0]
+    assert rows(units.units_so_far(spark, str(tmp_path / "stream"), part)) == expected
