@@ -47,8 +47,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = written(exact_dedup.exact_duplicates(docs))
     named = rows.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept")
-    # What goes is far less than what stays, so it is the side that may be small.
-    stay = _same(docs, written(named.where("not kept").drop("kept")), "left_anti")
+    goes = named.where("not kept").select("id", "sha")
+    stays = named.where("kept").select(F.col("id").alias("of")).distinct()
+    same = goes["id"].eqNullSafe(stays["of"])
+    # An id is enough to drop a document, unless another text of the same id stays.
+    stay = _same(docs, written(goes.join(stays, same, "left_anti").select("id").distinct()), "left_anti")
+    shared = written(goes.join(stays, same, "left_semi"))
+    if not shared.isEmpty():
+        stay = _same(stay, shared, "left_anti")
     again = written(named.where("kept").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     if again.isEmpty():
         return stay
