@@ -37,9 +37,9 @@ from tallyfold.llm.words import encoder
 from tallyfold.sources import new_shared_folder
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 5
+ROUNDS = 6
 LEAST = 8  # a pair must repeat so often to become a rule
-CELLS = 1 << 20  # of the table that finds frequent pairs before they are counted exactly
+CELLS = 1 << 18  # of the table in which pairs are counted; it fits a processor's cache
 RULES = 15_000  # of a block at most, so that most symbols fit 16 bits; the rest stays as it is
 
 BLOCKS = (
@@ -62,28 +62,39 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int = R
             break
         cell = symbols[:-1] * np.uint32(0x9E3779B1)
         cell ^= symbols[1:] * np.uint32(0x85EBCA6B)
-        cell >>= np.uint32(12)
+        cell >>= np.uint32(32 - CELLS.bit_length() + 1)
         cell[last[:-1]] = 0
         often = np.bincount(cell, minlength=CELLS)
         often[0] = 0
-        at = np.flatnonzero((often >= LEAST)[cell])
+        most = min(room, max(64, RULES // rounds))
+        limit = max(LEAST, int(np.partition(often, CELLS - most)[CELLS - most]))
+        at = np.flatnonzero((often >= limit)[cell])
+        # The first pair of a cell stands for it; others that fell there wait for another round.
+        inside = cell[at]
         pairs = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        distinct, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        ranked = np.argsort(-counts, kind="stable")[: min(room, max(64, RULES // rounds))]
-        ranked = ranked[counts[ranked] >= LEAST]
+        first = np.zeros(CELLS, np.uint64)
+        first[inside[::-1]] = pairs[::-1]
+        same = first[inside] == pairs
+        at, inside = at[same], inside[same]
+        counts = np.bincount(inside, minlength=CELLS)
+        ranked = np.flatnonzero(counts >= LEAST)
+        ranked = ranked[np.argsort(-counts[ranked], kind="stable")[:most]]
         if not len(ranked):
             break
-        number = np.full(len(distinct), -1, np.int64)
+        number = np.full(CELLS, -1, np.int64)
         number[ranked] = np.arange(len(ranked))
-        chosen = number[inverse]
+        chosen = number[inside]
         at, chosen = at[chosen >= 0], chosen[chosen >= 0]
         # Of pairs that overlap, every other one from the left is replaced.
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
         at, chosen = at[place % 2 == 0], chosen[place % 2 == 0]
-        used, chosen = np.unique(chosen, return_inverse=True)
-        left = (distinct[ranked[used]] >> np.uint64(32)).astype(np.uint32)
-        right = (distinct[ranked[used]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        present = np.zeros(len(ranked), bool)
+        present[chosen] = True
+        chosen = (np.cumsum(present) - 1)[chosen]
+        rule = first[ranked[present]]
+        left = (rule >> np.uint64(32)).astype(np.uint32)
+        right = (rule & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         size = np.concatenate([np.ones(base, np.uint32), expansions])
         symbols[at] = base + len(rules) + chosen
         last[at] = last[at + 1]
