@@ -7,8 +7,9 @@ result of the merges exactly if each neighbouring pair is compatible, so the fir
 sequence found is it. Where no token fits, the token before is shortened.
 
 Contract: null texts count as empty; empty texts have no ids; repeated rows give repeated
-rows; extra columns are ignored; characters beyond Latin and strings of special tokens are
-handled as the tokenizers library does by default.
+rows; extra columns are ignored; strings of special tokens give their ids, as is the library's
+default. Characters of any script are encoded in the same way; only the splitting of such texts
+is the library's.
 """
 
 from __future__ import annotations
@@ -23,19 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import arrow_map, whole_text
-from tallyfold.llm.words import Encoder, library, ragged
+from tallyfold.llm.words import Encoder, as_letters, library, ragged
 
 NEVER = 1 << 40
 PAIRS = 1 << 20  # answers remembered by a Python worker; beyond it they are worked out again
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable ones for themselves, others from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class Backtracker:
     """Encodes single pre-tokens."""
 
@@ -50,8 +44,6 @@ class Backtracker:
         self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(merges)}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.whole: set[str] = set()
-        letters = byte_letters()
-        self.letters = {chr(b): x for b, x in enumerate(letters)}
         for token in sorted(self.ids, key=lambda t: self.made.get(t, (-1,))[0]):
             if token not in self.made:
                 self.whole.add(token)
@@ -103,7 +95,7 @@ class Backtracker:
         return known
 
     def word(self, word: str) -> list[int]:
-        text = "".join(self.letters[chr(b)] for b in word.encode())
+        text = as_letters(word)
         if text + self.end in self.whole:
             return [self.ids[text + self.end]]
         if self.end:

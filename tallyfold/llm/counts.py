@@ -16,24 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import arrow_map, whole_text
-from tallyfold.llm.words import Encoder, library
+from tallyfold.llm.words import Encoder, as_letters, byte_letters, from_letters, library
 
 LIMIT = 2048
 
 
 class Counter:
     def __init__(self, path: str):
-        self.tokenizer = library(path)
-        self.single = single_tokens(path)
+        self.single, self.model = single_tokens(path), library(path).model
         self.encoder = Encoder(path, self.placeholders)
 
     def placeholders(self, words: list[str]) -> list[range]:
         """For each pre-token a run as long as it has tokens; only lengths are used."""
-        merged = [w for w in words if w not in self.single]
-        counts = dict(
-            zip(merged, map(len, self.tokenizer.encode_batch(merged, add_special_tokens=False)))
-        )
-        return [range(counts.get(w, 1)) for w in words]
+        single, tokenize = self.single, self.model.tokenize
+        return [range(1 if w in single else len(tokenize(as_letters(w)))) for w in words]
 
     def count(self, texts: list[str]) -> list[int]:
         return [n for _, _, lengths in self.encoder.batches(texts) for n in lengths.tolist()]
@@ -42,18 +38,18 @@ class Counter:
 @lru_cache(maxsize=4)
 def single_tokens(path: str) -> frozenset[str]:
     """Pre-tokens proved to encode as one token, as they stand in normalised text."""
-    from tallyfold.llm.bpe import byte_letters
-
-    tokenizer = library(path)
-    to_byte = {x: b for b, x in enumerate(byte_letters())}
+    tokenizer, letters = library(path), set(byte_letters())
+    normal = tokenizer.normalizer
     strings = []
     for token in tokenizer.get_vocab(with_added_tokens=False):
         bare = token.removesuffix("</w>")
-        if all(x in to_byte for x in bare):
+        if letters.issuperset(bare):
             try:
-                strings.append(bytes(to_byte[x] for x in bare).decode())
+                string = from_letters(bare)
             except UnicodeDecodeError:
                 continue
+            if not normal or normal.normalize_str(string) == string:
+                strings.append(string)
     encoded = tokenizer.encode_batch(strings, add_special_tokens=False)
     return frozenset(
         s

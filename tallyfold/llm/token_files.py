@@ -159,7 +159,7 @@ def write_ids(documents: DataFrame, path: str, folder: str, end_id: int = 2) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block = TaskContext.get().partitionId(), 0
         own = encoder(path)
-        base = own.tokenizer.get_vocab_size()
+        base = own.splitter.tokenizer.get_vocab_size()
         docs: list = []
         ids: list[np.ndarray] = []
         held = 0

@@ -6,12 +6,14 @@ and looking up are numpy operations on the code points of many texts; only pre-t
 not seen before are handed to Python, as strings.
 
 Texts that hold characters above U+024F, characters that change their number when
-normalised, or strings of special tokens are left to the tokenizers library as a whole.
+normalised, or strings of special tokens are split one by one, by the library's own normaliser
+and pre-tokenizer; their pre-tokens are then encoded like all others.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -24,7 +26,6 @@ LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 RANGE = 0x250  # Latin; nothing below it composes
 HASHED = 32  # characters of a pre-token that the table of random numbers covers
 BATCH_CHARS = 1 << 21
-TOGETHER = 1000  # pre-tokens that the library encodes in one call
 KNOWN = 1_500_000  # distinct pre-tokens remembered by a Python worker; more are encoded again
 
 
@@ -39,12 +40,38 @@ def library(path: str):
     return tokenizer
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+_LETTERS = byte_letters()
+_BYTE = {x: b for b, x in enumerate(_LETTERS)}
+_LETTER_OF = {b: x for b, x in enumerate(_LETTERS)}
+
+
+def as_letters(word: str) -> str:
+    """A letter for each byte of a pre-token, as the vocabulary is written."""
+    return word.encode().decode("latin-1").translate(_LETTER_OF)
+
+
+def from_letters(letters: str) -> str:
+    return bytes(_BYTE[x] for x in letters).decode()
+
+
 class Splitter:
     """Splits texts as the tokenizer does; the character tables are asked of the library."""
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("special tokens that take in their surroundings are not known")
+        self.specials = {t.content: i for i, t in added.items()}
+        longest_first = sorted(self.specials, key=lambda s: (-len(s), s))
+        self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str
         # Lower-case words without white space, or pieces that carry the blank before them.
         self.blanks = len(pieces("a b")) == 2 and pieces("a b")[1][0] != "b"
@@ -79,8 +106,20 @@ class Splitter:
             0, 1 << 63, size=RANGE * HASHED, dtype=np.uint64
         ) * np.uint64(2) + np.uint64(1)
 
+    def words(self, text: str) -> list[str | int]:
+        """Pre-tokens of one text with any characters, and ids of special tokens, in order."""
+        normal, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        out: list[str | int] = []
+        for i, part in enumerate(self.special.split(text) if self.specials else [text]):
+            if i % 2:
+                out.append(self.specials[part])
+            elif part:
+                part = normal.normalize_str(part) if normal else part
+                out += [from_letters(piece) for piece, _ in pieces(part)]
+        return out
+
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code points of all texts, where each begins and ends, and which are left to the library."""
+        """Code points of all texts, where each ends, and which are to be split one by one."""
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         bad = codes >= RANGE
@@ -192,40 +231,25 @@ def ragged(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray
 
 
 class Encoder:
-    """Ids of texts: pre-tokens by ``make``, texts left over by the library."""
+    """Ids of texts, each distinct pre-token of which is encoded by ``make``."""
 
     def __init__(self, path: str, make: Callable[[list[str]], list] | None = None):
-        self.tokenizer, self.splitter = library(path), Splitter(path)
-        self.book = Book(make or self.merged)
+        self.splitter, self.model = Splitter(path), library(path).model
+        self.make = make or self.merged
+        self.book = Book(self.make)
 
     def merged(self, words: list[str]) -> list[list[int]]:
-        """Ids of pre-tokens, many in one call: a break between two keeps them apart."""
-        out: list[list[int]] = [[]] * len(words)
-        breaks = "\n" if self.splitter.blanks else " "
-        solid = [i for i, w in enumerate(words) if not w.isspace()]
-        alone = [i for i, w in enumerate(words) if w.isspace()]
-        for a in range(0, len(solid), TOGETHER):
-            some = solid[a : a + TOGETHER]
-            encoding = self.tokenizer.encode(
-                breaks.join([words[i] for i in some]), add_special_tokens=False
-            )
-            ids, of = encoding.ids, np.array(encoding.word_ids)
-            ends = np.flatnonzero(np.diff(of, append=-1) != 0) + 1
-            step = 2 if self.splitter.blanks else 1  # the break is a pre-token, or none
-            if len(ends) != step * (len(some) - 1) + 1:
-                alone += some  # not split as expected, so one by one
-                continue
-            begins = np.concatenate([[0], ends[:-1]])
-            for i, x, y in zip(some, begins[::step].tolist(), ends[::step].tolist()):
-                out[i] = ids[x:y]
-        if alone:
-            found = self.tokenizer.encode_batch([words[i] for i in alone], add_special_tokens=False)
-            for i, encoding in zip(alone, found):
-                out[i] = encoding.ids
-        return out
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        """Ids of pre-tokens by the library's merges."""
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(as_letters(word))] for word in words]
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of one text with any characters."""
+        pieces = self.splitter.words(text)
+        distinct = list(dict.fromkeys(p for p in pieces if isinstance(p, str)))
+        runs = dict(zip(distinct, self.make(distinct)))
+        ids = (x for p in pieces for x in (runs[p] if isinstance(p, str) else (p,)))
+        return np.fromiter(ids, np.int32)
 
     def batches(self, texts: list[str], chars: int = BATCH_CHARS):
         """A slice of the texts, their ids one after the other, and how many each has."""
@@ -245,7 +269,7 @@ class Encoder:
             if hard.any():
                 at = np.concatenate([[0], np.cumsum(lengths)])
                 runs = [
-                    np.array(self.whole(t), np.int32) if h else ids[at[i] : at[i + 1]]
+                    self.whole(t) if h else ids[at[i] : at[i + 1]]
                     for i, (t, h) in enumerate(zip(part, hard))
                 ]
                 ids = np.concatenate(runs) if runs else ids

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -41,8 +42,13 @@ def as_rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+@lru_cache
+def tokenizer_of(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return tokenizer_of(path).encode(text or "", add_special_tokens=False).ids
 
 
 def some_texts(n=120, seed=3):
@@ -90,6 +96,25 @@ def test_every_character_of_the_fast_path_splits_as_the_library_does():
         assert found == [ids_of(path, t) for t in texts]
 
 
+def test_texts_of_any_script_are_encoded_as_the_library_does():
+    from tallyfold.llm.words import Encoder
+
+    texts = [
+        "J\u030cx \u01f0 字漢 it’s a<|endoftext|>b Ωσς İstanbul 🙂🙂 don’t J\u030c",
+        "привет мир 1234 ﬁ e\u0301 <|endoftext|><|startoftext|>  z\u200b\n\n x",
+        "I\u0307\u0307'S 'LL K\u212a A\u030a",
+        "",
+        "plain",
+    ]
+    for path, make in ((WORD, None), (WORD, bpe.Backtracker(WORD).words), (BYTE, None)):
+        found = []
+        for _, ids, lengths in Encoder(path, make).batches(texts):
+            found += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert found == [ids_of(path, t) for t in texts]
+    for path in (WORD, BYTE):
+        assert counts.Counter(path).count(texts) == [len(ids_of(path, t)) for t in texts]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_counts_are_those_of_the_library(documents, path):
     wanted = []
