@@ -6,7 +6,8 @@ last return the columns of documents. Rows are dropped for these reasons only:
 language     the text is null, empty or holds no letter, or most of it fits no language learned
 toxicity     the score is 0.5 or more
 exact        an equal text with a larger doc_id is there
-near         a document of the same component has a smaller doc_id
+near         a document of the same component has a smaller doc_id; components are made by links of a
+             similarity of 0.80 or more, where op1_near_duplicates has 0.85
 
 A row repeated with the same doc_id and text is kept once by the exact stage. Empty tables pass
 through every stage.
@@ -23,6 +24,7 @@ from tallyfold.llm.common import id_remainder, written
 from tallyfold.sources import read_table
 
 NOISE = 0.5  # share of a text that fits no language, above which it is rejected
+NEAR_PERCENT = 80  # similarity from which documents are near copies
 
 
 def _same(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -63,7 +65,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(minhash.near_duplicates(docs)).select(F.col("doc_id").alias("id"), "kept")
+    rows = written(minhash.near_duplicates(docs, NEAR_PERCENT)).select(F.col("doc_id").alias("id"), "kept")
     goes = rows.where("not kept").select("id").distinct()
     stays = rows.where("kept").select(F.col("id").alias("of"))
     # Of rows that share a doc_id, all stay if one does.

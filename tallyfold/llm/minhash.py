@@ -1,7 +1,7 @@
 """Near-duplicates by SetSketch registers, estimated jointly by likelihood, then verified.
 
 A document is the set of its distinct five-word shingles. Its SetSketch has one register for
-each of M hash functions: the least hash of the set as an exponential variable, cut to a
+each of a number of hash functions: the least hash of the set as an exponential variable, cut to a
 whole power of B close to 1. Registers of a union are the larger registers, and two registers
 are equal about as often as the sets are similar.
 
@@ -21,9 +21,10 @@ are equal about as often as the sets are similar.
 Rows, never groups, pass through a task: buckets are streamed in order, a tile holds twice
 TILE rows, and the many partners of one class are dealt out in lots.
 
-A link is missed if the two share no band, with a chance of (1 - s**ROWS)**BANDS: 4e-7 for two
-documents with a similarity of just 0.85, less above it; or if the estimate is off by more
-than six standard deviations, 2e-9.
+The least similarity wanted is given in percent. A link is missed if the two share no band, with
+a chance of (1 - s**ROWS)**bands: there are as many bands as make it MISSED at most for two
+documents of just that similarity (25 for 0.85, 37 for 0.80, 4e-7 either way), less above it; or
+if the estimate is off by more than six standard deviations, 2e-9.
 
 Contract: words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z as a-z. Fewer words
 than five are one shingle. A text that is null, empty or has no words has no shingles, is
@@ -34,7 +35,9 @@ share a doc_id and not a text are linked each by its own text. Extra columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +47,9 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import arrow_map, parts, sizes_within, whole_text, written
 
 WORDS = 5
-PERCENT = 85  # 100 * intersection >= PERCENT * union
-BANDS, ROWS = 25, 5
-M = BANDS * ROWS
+PERCENT = 85  # 100 * intersection >= PERCENT * union, where no other number is given
+ROWS = 5  # registers of a band
+MISSED = 5e-7  # the chance that two documents just similar enough share no band, at most
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2  # spacing, rate and largest value of registers
 EVIDENCE = 20.0
 FINE = 2048  # further registers, of which one bit each is kept, where buckets stay open
@@ -57,16 +60,25 @@ BATCH_BYTES = 1 << 21
 _RANDOM = np.random.default_rng(1729)
 _BYTES = _RANDOM.integers(0, 1 << 63, size=256 * 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RANDOM.integers(0, 1 << 63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = _RANDOM.integers(0, 1 << 31, size=M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 32, size=M, dtype=np.uint32)
-_FINE_FACTORS = _RANDOM.integers(0, 1 << 31, size=FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FINE_SHIFTS = _RANDOM.integers(0, 1 << 32, size=FINE, dtype=np.uint32)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def n_bands(percent: int) -> int:
+    """How many bands miss a pair of this similarity with a chance of MISSED at most."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+@lru_cache
+def hashes(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of as many hash functions; other ones for each number and kind."""
+    random = np.random.default_rng([1729, n, kind])
+    factors = random.integers(0, 1 << 31, size=n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return factors, random.integers(0, 1 << 32, size=n, dtype=np.uint32)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -114,11 +126,12 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def registers(found: np.ndarray, factors=_FACTORS, shifts=_SHIFTS) -> np.ndarray:
-    """The SetSketch of a set that is not empty."""
-    low = np.full(len(factors), 0xFFFFFFFF, np.uint32)
+def registers(found: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
+    """The SetSketch of a set that is not empty, of n registers."""
+    factors, shifts = hashes(n, kind)
+    low = np.full(n, 0xFFFFFFFF, np.uint32)
     thin = found.astype(np.uint32)
-    step = max(1, (1 << 17) // len(factors))
+    step = max(1, (1 << 17) // n)
     for i in range(0, len(thin), step):
         part = np.multiply.outer(thin[i : i + step], factors)
         part += shifts
@@ -129,13 +142,13 @@ def registers(found: np.ndarray, factors=_FACTORS, shifts=_SHIFTS) -> np.ndarray
 
 def fine_bits(found: np.ndarray) -> bytes:
     """The lowest bit of each further register."""
-    return np.packbits(registers(found, _FINE_FACTORS, _FINE_SHIFTS) & 1).tobytes()
+    return np.packbits(registers(found, FINE, 1) & 1).tobytes()
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """A hash of the registers of each band, for every row."""
-    bands = sketch.reshape(len(sketch), BANDS, ROWS).astype(np.uint64)
-    total = np.zeros((len(sketch), BANDS), np.uint64)
+    bands = sketch.reshape(len(sketch), -1, ROWS).astype(np.uint64)
+    total = np.zeros(bands.shape[:2], np.uint64)
     for i in range(ROWS):
         total = mixed(total + bands[:, :, i] + np.uint64(i + 1))
     return total
@@ -146,6 +159,7 @@ def likely(
     b: np.ndarray,
     size_a: np.ndarray,
     size_b: np.ndarray,
+    percent: int,
     agreed: np.ndarray | None = None,
 ) -> np.ndarray:
     """Which pairs of sketches may have the similarity wanted, by a likelihood ratio.
@@ -157,8 +171,8 @@ def likely(
     """
     larger = (a > b).sum(axis=1)
     smaller = (a < b).sum(axis=1)
-    equal = M - larger - smaller
-    grid = np.concatenate([np.linspace(0.0, 0.84, 43), [PERCENT / 100], np.linspace(0.86, 1.0, 15)])
+    equal = a.shape[1] - larger - smaller
+    grid = np.concatenate([np.arange(0, percent, 2), np.arange(percent, 101)]) / 100
     u = (size_a / (size_a + size_b))[:, None]
     v = 1 - u
     # A similarity cannot exceed the smaller size by the larger.
@@ -178,14 +192,16 @@ def likely(
     if agreed is not None:
         value += agreed[:, None] * np.log((1 + j) / 2)
         value += (FINE - agreed)[:, None] * np.log(np.maximum((1 - j) / 2, 1e-12))
-    wanted = grid >= PERCENT / 100
+    wanted = grid >= percent / 100
     near = value[:, wanted].max(axis=1) >= value.max(axis=1) - EVIDENCE
-    return near & (100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b))
+    return near & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
 
 
-def sketches(documents: DataFrame) -> DataFrame:
+def sketches(documents: DataFrame, percent: int) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b, sketch``; the two numbers stand for the set (null: none)."""
 
+    n = n_bands(percent) * ROWS
+
     def run(batch):
         sets = shingles([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
         return {
@@ -195,7 +211,7 @@ def sketches(documents: DataFrame) -> DataFrame:
             "set_b": [
                 int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else None for s in sets
             ],
-            "sketch": [registers(s).tobytes() if len(s) else None for s in sets],
+            "sketch": [registers(s, n).tobytes() if len(s) else None for s in sets],
         }
 
     rows = documents.select(F.col("doc_id").cast("bigint"), whole_text().alias("text"))
@@ -235,20 +251,21 @@ def _borders(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, M)
+def _matrix(column) -> np.ndarray:
+    """The sketches of one row or more."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def _pair_table(a, b) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def tile_pairs(table: pa.Table) -> pa.Table:
+def tile_pairs(table: pa.Table, percent: int) -> pa.Table:
     """Similar pairs of different components in each tile; rows of equal distance at a time."""
     new = _borders(table, ["band", "key", "one", "two"])
     ends = np.append(new[1:], table.num_rows)
     left = np.repeat(ends, ends - new) - np.arange(table.num_rows)  # rows from here to the end
-    sketch, size, ids = _matrix(table), table["size"].to_numpy(), table["id"].to_numpy()
+    sketch, size, ids = _matrix(table["sketch"]), table["size"].to_numpy(), table["id"].to_numpy()
     fine = np.frombuffer(b"".join(table["fine"].to_pylist()), np.uint64).reshape(-1, FINE // 64)
     label, block = table["label"].to_numpy(), table["block"].to_numpy()
     one, two, band = table["one"].to_numpy(), table["two"].to_numpy(), table["band"].to_numpy()
@@ -261,15 +278,15 @@ def tile_pairs(table: pa.Table) -> pa.Table:
             # In a tile of two blocks, pairs within one of them belong to another tile.
             stay = (label[x] != label[y]) & ((one[x] == two[x]) | (block[x] != block[y]))
             small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            stay &= 100 * small >= PERCENT * large
+            stay &= 100 * small >= percent * large
             x, y = x[stay], y[stay]
             if not len(x):
                 continue
-            same = (sketch[x] == sketch[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
+            same = (sketch[x] == sketch[y]).reshape(len(x), -1, ROWS).all(axis=2)
             stay = same.argmax(axis=1) == band[x]
             x, y = x[stay], y[stay]
             agreed = FINE - np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1, dtype=np.int64)
-            stay = likely(sketch[x], sketch[y], size[x], size[y], agreed)
+            stay = likely(sketch[x], sketch[y], size[x], size[y], percent, agreed)
             out_a.append(ids[x[stay]])
             out_b.append(ids[y[stay]])
     a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -280,14 +297,14 @@ def bands(members: DataFrame) -> DataFrame:
     """``band, key, id``: a row for each band of each class."""
 
     def run(batch):
-        sketch = _matrix(pa.Table.from_batches([batch]))
+        keys = band_keys(_matrix(batch.column("sketch")))
         return {
-            "band": np.tile(np.arange(BANDS, dtype=np.int8), len(sketch)),
-            "key": band_keys(sketch).view(np.int64).ravel(),
-            "id": np.repeat(batch.column("id").to_numpy(), BANDS),
+            "band": np.tile(np.arange(keys.shape[1], dtype=np.int16), len(keys)),
+            "key": keys.view(np.int64).ravel(),
+            "id": np.repeat(batch.column("id").to_numpy(), keys.shape[1]),
         }
 
-    return arrow_map(members.select("id", "sketch"), run, "band tinyint, key bigint, id bigint")
+    return arrow_map(members.select("id", "sketch"), run, "band smallint, key bigint, id bigint")
 
 
 def buckets(members: DataFrame) -> DataFrame:
@@ -308,7 +325,7 @@ def buckets(members: DataFrame) -> DataFrame:
     return written(rows.join(crowded, ["band", "key"]))
 
 
-def star_pairs(in_buckets: DataFrame, members: DataFrame) -> DataFrame:
+def star_pairs(in_buckets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``a, b``: the first class of each bucket with the others, where similar enough."""
     pairs = written(
         in_buckets.where("id <> first")
@@ -318,15 +335,13 @@ def star_pairs(in_buckets: DataFrame, members: DataFrame) -> DataFrame:
     a = members.select(*(F.col(c).alias(f"{c}_a") for c in members.columns))
     b = members.select(*(F.col(c).alias(f"{c}_b") for c in members.columns))
     both = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b")).where(
-        100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b")
+        100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
     )
 
     def run(batch):
-        x, y = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M)
-            for c in ("sketch_a", "sketch_b")
-        )
-        good = likely(x, y, batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
+        x, y = _matrix(batch.column("sketch_a")), _matrix(batch.column("sketch_b"))
+        size_a, size_b = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
+        good = likely(x, y, size_a, size_b, percent)
         return {c: batch.column(c).to_numpy()[good] for c in "ab"}
 
     return arrow_map(
@@ -353,7 +368,7 @@ def refined(ids: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def open_pairs(
-    in_buckets: DataFrame, members: DataFrame, labels: DataFrame, texts: DataFrame
+    in_buckets: DataFrame, members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int
 ) -> DataFrame:
     """``a, b``: similar pairs of different components, in buckets that hold several."""
     labels = labels.withColumnRenamed("id", "of")
@@ -384,21 +399,24 @@ def open_pairs(
     )
     keys = ["band", "key", "one", "two"]
     return _streamed(
-        tiles.repartition(*keys).sortWithinPartitions(*keys), keys, tile_pairs, "a bigint, b bigint"
+        tiles.repartition(*keys).sortWithinPartitions(*keys),
+        keys,
+        lambda table: tile_pairs(table, percent),
+        "a bigint, b bigint",
     )
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two ascending sets are as similar as wanted."""
     if not len(a) or not len(b):
         return False
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
     shared = int(np.count_nonzero(a[at] == b))
-    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of the pairs whose full sets are similar enough. ``texts``: ``id, text`` of classes."""
     pairs = written(pairs.distinct())
     many = written(
@@ -430,7 +448,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     of, centres = (a[i], lot[i]), []
                 if kind[i] == 0:
                     centres.append(own)
-                elif any(similar(centre, own) for centre in centres):
+                elif any(similar(centre, own, percent) for centre in centres):
                     found.append(i)
             if found:
                 yield pa.RecordBatch.from_pydict(
@@ -478,9 +496,9 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    found = written(sketches(documents))
+    found = written(sketches(documents, percent))
     classes = written(
         found.where("set_a is not null and doc_id is not null")
         .groupBy("set_a", "set_b", "n_shingles")
@@ -493,7 +511,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = classes.select("id", F.col("n_shingles").alias("size"), "sketch")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text"))
     in_buckets = buckets(members)
-    first = written(star_pairs(in_buckets, members))
+    first = written(star_pairs(in_buckets, members, percent))
     # The documents are moved once, for all classes whose text may be asked for.
     asked = (
         first.select(F.explode(F.array("a", "b")).alias("id"))
@@ -501,9 +519,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .distinct()
     )
     texts = written(texts.join(written(asked), "id", "left_semi"))
-    links = written(confirmed(first, texts))
+    links = written(confirmed(first, texts, percent))
     labels = components(links)
-    more = written(confirmed(open_pairs(in_buckets, members, labels, texts), texts))
+    more = written(confirmed(open_pairs(in_buckets, members, labels, texts, percent), texts, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = written(

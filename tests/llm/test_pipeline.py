@@ -12,7 +12,7 @@ from conftest import TESTDATA
 from tallyfold.llm import queries as registered
 from tallyfold.llm.common import written
 
-from .test_operators import as_rows, brute_components, by_key, check_pieces, edited
+from .test_operators import as_rows, brute_components, by_key, check_pieces, edited, shingle_set
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -74,6 +74,42 @@ def test_stages_keep_what_brute_force_keeps(spark, mixed):
     check_pieces(pieces, [(r[0], r[1]) for r in as_rows(docs)], path, 0)
 
 
+def components_at(rows, percent):
+    """The smallest id of each component, from all pairs."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for b in sorted(sets):
+        for a in (a for a in sorted(sets) if a < b):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root(a), root(b)))
+                label[high] = low
+    return {root(i) for i in sets}
+
+
+def test_near_copies_from_a_similarity_of_80_percent_go(spark):
+    # Without the last words two texts are similar by 80/100, 81/100, 84/100, 79/100 shingles.
+    rows = []
+    for n, shared in enumerate((80, 81, 84, 79)):
+        words = [f"{n}w{k}" for k in range(104)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[: shared + 4]))]
+    rows += edited(seed=9, groups=2, copies=10) + edited(seed=11, groups=4, copies=12)[::4]
+    rows = [(i if i < 1000 else 1000 + n, t) for n, (i, t) in enumerate(rows)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    kept = as_rows(STAGES["near"](spark, docs, f"{TESTDATA}/sf0.001"))
+    wanted = components_at(rows, 80)
+    assert {r[0] for r in kept} == wanted and len(kept) == len(wanted)
+    assert {0, 10, 20, 30, 31} == {i for i in wanted if i < 1000}
+    assert wanted < components_at(rows, 85)
+
+
 def test_empty_tables_pass_through(spark, mixed):
     docs = mixed.limit(0)
     for _, stage in corpus_pipeline.STAGES:
