@@ -74,12 +74,18 @@ class Model:
 
     def predict(self, text: str) -> tuple[str, float, float]:
         """Language, score, share of noise."""
+        return self.infer(text)[:3]
+
+    def infer(self, text: str) -> tuple[str, float, float, list[dict]]:
+        """Language, score, share of noise, and all languages chosen with their shares, largest first."""
         if not self.names or not _LETTER.search(text):
-            return UNKNOWN, 0.0, 1.0
+            return UNKNOWN, 0.0, 1.0, []
         shares, size = self.shares(text)
         best = int(np.argmax(shares[:-1]))
         score = (size * shares[best] + 1) / (size + len(self.names))
-        return self.names[best], float(score), float(shares[-1])
+        order = sorted(np.flatnonzero(shares[:-1]).tolist(), key=lambda i: (-shares[i], i))
+        chosen = [{"lang": self.names[i], "share": float(shares[i])} for i in order]
+        return self.names[best], float(score), float(shares[-1]), chosen
 
 
 def mixture(times: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, float]:
@@ -155,22 +161,30 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
     return Model(names, counts)
 
 
-def languages(documents: DataFrame, model: Model, *extra: Column) -> DataFrame:
-    """``doc_id``, the extra columns, ``lang_pred, score, noise`` of every text."""
+def languages(
+    documents: DataFrame, model: Model, *extra: Column, shares: bool = False
+) -> DataFrame:
+    """``doc_id``, the extra columns, ``lang_pred, score, noise`` of every text.
+
+    With ``shares`` also ``languages``: the set of languages chosen, each with its share of the
+    text, largest first; empty where ``lang_pred`` is ``und`` or all is noise.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col("doc_id").cast("bigint"), whole_text().alias("text"), *extra)
     kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batch):
-        found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+        found = [shared.value.infer(t) for t in batch.column("text").to_pylist()]
         return {f.name: batch.column(f.name) for f in kept} | {
             "lang_pred": [x[0] for x in found],
             "score": [x[1] for x in found],
             "noise": [x[2] for x in found],
+            "languages": [x[3] for x in found],
         }
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return arrow_map(rows, run, f"{names}, lang_pred string, score double, noise double")
+    every = ", languages array<struct<lang:string,share:double>>" if shares else ""
+    return arrow_map(rows, run, f"{names}, lang_pred string, score double, noise double{every}")
 
 
 def recognised(documents: DataFrame, model: Model, noise: float) -> DataFrame:

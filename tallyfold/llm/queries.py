@@ -59,7 +59,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     model = language.learn(documents.where(id_remainder(3) != 1))
     held_out = (id_remainder(3) == 1).alias("held_out")
-    return language.languages(documents, model, held_out)
+    return language.languages(documents, model, held_out, shares=True)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,6 +401,27 @@ def test_a_mixed_text_has_both_languages():
     assert model.predict("12 !?")[0] == language.UNKNOWN
 
 
+def test_all_languages_of_a_mixed_text_are_given(spark):
+    from tallyfold.llm.queries import op3_language
+
+    root = f"{TESTDATA}/sf0.01"
+    real = spark.read.parquet(f"{root}/documents.parquet")
+    model = language.learn(real)
+    longest = {}
+    for r in real.orderBy("n_chars", "doc_id").where("n_chars < 4000").collect():
+        longest[r.lang] = r.text
+    a, b = sorted(longest)[:2]
+    rows = [(1, f"{longest[a][:2000]} {longest[b][:1000]}"), (2, "12 !?"), (3, longest[b])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in language.languages(df, model, shares=True).collect()}
+    assert [x.lang for x in found[1].languages] == [a, b] and found[1].lang_pred == a
+    assert abs(found[1].languages[0].share - 2 / 3) < 0.1
+    assert found[2].languages == [] and [x.lang for x in found[3].languages] == [b]
+    for r in op3_language(spark, root).collect():
+        assert (r.languages[0].lang == r.lang_pred) if r.languages else r.noise == 1
+        assert abs(sum(x.share for x in r.languages) + r.noise - 1) < 0.01
+
+
 @pytest.mark.parametrize("lang", ["en", None])
 def test_languages_of_odd_rows(documents, lang):
     df = documents(ODD, lang)
