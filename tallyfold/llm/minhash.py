@@ -15,7 +15,8 @@ are equal about as often as the sets are similar.
     pairs of different components compared in the same way, with one bit each of FINE further
     registers, made for their classes alone. Nothing is emitted for pairs of one component, as a
     further link could not change the result, and each pair is emitted only for the first band
-    it shares. Large buckets are dealt out as tiles of two blocks.
+    it shares. Large buckets are dealt out as tiles of two blocks, one of which holds members
+    outside the bucket's largest component.
 5.  Links of both rounds make the final components.
 
 Rows, never groups, pass through a task: buckets are streamed in order, a tile holds twice
@@ -367,6 +368,44 @@ def refined(ids: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def open_members(labelled: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with the largest one, ``main``.
+
+    ``rest`` and ``mains`` are how many blocks the members outside and inside of it make.
+    """
+    by_label = labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("members"))
+    several = written(
+        by_label.groupBy("band", "key")
+        .agg(F.max(F.struct("members", "label")).alias("most"), F.sum("members").alias("all"))
+        .where("most.members < all")
+        .select(
+            "band",
+            "key",
+            F.col("most.label").alias("main"),
+            F.ceil((F.col("all") - F.col("most.members")) / TILE).cast("int").alias("rest"),
+            F.ceil(F.col("most.members") / TILE).cast("int").alias("mains"),
+        )
+    )
+    return labelled.join(several, ["band", "key"])
+
+
+def tiles(open_rows: DataFrame) -> DataFrame:
+    """Members by tile: two blocks, the first of members outside the largest component.
+
+    Pairs within that component are settled, so that two of its blocks never meet.
+    """
+    main, rest, mains = F.col("label") == F.col("main"), F.col("rest"), F.col("mains")
+    of = F.xxhash64("id")
+    block = F.when(main, rest + F.pmod(of, mains)).otherwise(F.pmod(of, rest)).cast("int")
+    others = F.when(main, rest).otherwise(rest + mains)
+    return (
+        open_rows.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+        .withColumn("one", F.least("block", "other"))
+        .withColumn("two", F.greatest("block", "other"))
+    )
+
+
 def open_pairs(
     in_buckets: DataFrame, members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int
 ) -> DataFrame:
@@ -376,30 +415,12 @@ def open_pairs(
         "band", "key", "id", "n", F.coalesce("label", "id").alias("label")
     )
     # Of two members, the one pair there is has been looked at.
-    unsettled = written(
-        labelled.where("n > 2")
-        .groupBy("band", "key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low < high")
-        .select("band", "key")
-    )
-    open_rows = written(labelled.join(unsettled, ["band", "key"]))
+    open_rows = written(open_members(labelled.where("n > 2")))
     finer = written(refined(open_rows.select("id").distinct(), members, texts))
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = (
-        open_rows.join(finer, "id")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", other)
-        .select(
-            "band", "key", F.least("block", "other").alias("one"),
-            F.greatest("block", "other").alias("two"), "block", "id", "label", "size", "sketch", "fine",
-        )
-    )
     keys = ["band", "key", "one", "two"]
+    rows = tiles(open_rows.join(finer, "id")).select(*keys, "block", "id", "label", "size", "sketch", "fine")
     return _streamed(
-        tiles.repartition(*keys).sortWithinPartitions(*keys),
+        rows.repartition(*keys).sortWithinPartitions(*keys),
         keys,
         lambda table: tile_pairs(table, percent),
         "a bigint, b bigint",

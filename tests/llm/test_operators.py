@@ -299,6 +299,27 @@ def test_tiles_of_large_buckets_match_brute_force(documents, monkeypatch):
     assert by_key(found.collect()) == by_key(brute_components(rows))
 
 
+def test_tiles_meet_members_outside_the_largest_component_once_with_all(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 4)
+    label = {i: 0 for i in range(80)} | {80: 80} | {i: 81 + i % 3 for i in range(81, 90)}
+    rows = [(0, 7, i, n) for i, n in label.items()] + [(1, 7, i, n) for i, n in label.items() if i <= 80]
+    rows += [(2, 7, i, 0) for i in range(50)]  # one component: settled
+    df = spark.createDataFrame(rows, "band smallint, key bigint, id bigint, label bigint")
+    found = minhash.tiles(minhash.open_members(df)).collect()
+    met, held = Counter(), defaultdict(list)
+    for r in found:
+        held[(r.band, r.one, r.two)].append(r)
+    for (band, one, two), members in held.items():
+        for n, x in enumerate(members):
+            for y in members[:n]:
+                if x.label != y.label and (one == two or x.block != y.block):
+                    met[(band, *sorted((x.id, y.id)))] += 1
+    wanted = {(b, i, j) for b, last in ((0, 90), (1, 81)) for j in range(last) for i in range(j) if label[i] != label[j]}
+    assert set(met) == wanted and set(met.values()) == {1}
+    # 80 once, and the one outside with its own block and 20 more.
+    assert sum(r.band == 1 for r in found) == 80 + 21
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     ids = rng.sample(range(10_000), 400)
