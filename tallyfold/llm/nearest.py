@@ -1,13 +1,14 @@
 """Nearest neighbours by inner product: a block matrix join with error bounds.
 
-Queries are dealt into blocks by a hash, as many as it takes, and candidates into PARTS parts.
+Queries are dealt into blocks by a hash, as many as it takes, and candidates into
+parts of about PART_ROWS rows, PARTS of them at least.
 Each block meets each part in one tile: the queries are held, the candidates pass by. Vectors
 are quantised to int8 and multiplied (as whole numbers in float32, which is exact); the product
 of two codes differs from the true inner product by a bounded error, known from what quantising
 left over. A candidate survives unless its upper bound is below the k-th largest lower bound of
 its query, or below the k-th best score so far. Survivors are computed again in double precision
 on the original vectors, each tile keeps the k best of each query by a heap, and the heaps of
-the PARTS tiles are merged.
+these tiles are merged.
 
 Nothing is lost by the bounds, so the result is that of brute force.
 
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 
 BLOCK_QUERIES = 16384  # of a block at most; BLOCK_BYTES may make it fewer
 BLOCK_BYTES = 16 << 20
-PARTS = 8  # of the candidates; each block of queries meets each part in one tile
+PARTS = 8  # of the candidates, at least; each block of queries meets each part in one tile
+PART_ROWS = 1 << 20  # of a part, about; more candidates make more parts
 TILE_QUERIES, TILE_ROWS = 512, 2048  # multiplied at once
 EXACT_DIMS = 1024  # products of so many int8 pairs add up exactly in float32
+MERGED = 64  # times k rows are held of a query while its heaps are merged
 PAIRS_AT_ONCE = 1 << 18
 FOUND = "query_id bigint, query_hash bigint, vec_id bigint, score double"
 
@@ -127,10 +130,15 @@ class Search:
                     self.least[q] = -best[-1][0]
 
 
+def n_parts(candidates: int) -> int:
+    return max(PARTS, -(-candidates // PART_ROWS))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k candidates with the largest inner products."""
     rows, asked = usable(vectors), usable(queries).distinct()
     n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    parts = n_parts(rows.count())
     block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * (longest or 1))))
     blocks = max(1, -(-n // block))
 
@@ -147,8 +155,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     # A tile: its queries first, then its candidates, as many as there are.
     tile = ["dim", "query_block", "part"]
     tiles = (
-        dealt(asked, "query_block", blocks, "part", PARTS, 0)
-        .unionByName(dealt(rows, "part", PARTS, "query_block", blocks, 1))
+        dealt(asked, "query_block", blocks, "part", parts, 0)
+        .unionByName(dealt(rows, "part", parts, "query_block", blocks, 1))
         .repartition(*tile)
         .sortWithinPartitions(*tile, "kind")
     )
@@ -215,6 +223,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                         yield full()
                     of, heap = row[:2], []
                 heap.append((-row[3], row[2]))
+                if len(heap) > MERGED * k:
+                    heap = heapq.nsmallest(k, heap)
         if heap:
             yield full()
 

@@ -394,6 +394,20 @@ def test_search_matches_brute_force(spark, monkeypatch):
     assert by_key(found.collect()) == by_key(brute_nearest(rows, 20))
 
 
+def test_more_candidates_make_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART_ROWS", 5)
+    assert nearest.n_parts(3) == 8 and nearest.n_parts(500) == 100
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = nearest.nearest(df, df.where("vec_id % 20 = 0"), k=3)
+    tiles = []
+    monkeypatch.setattr(nearest, "n_parts", lambda n: tiles.append(n) or 100)
+    again = nearest.nearest(df, df.where("vec_id % 20 = 0"), k=3)
+    assert by_key(found.collect()) == by_key(again.collect()) == by_key(brute_nearest(rows, 3))
+    assert tiles == [500]
+
+
 # Classifiers
 
 
