@@ -16,12 +16,15 @@ from tallyfold.llm import (
     chat,
     counts,
     exact_dedup,
+    hard_negatives,
     language,
     minhash,
     nearest,
     packing,
+    simhash,
     token_files,
     toxicity,
+    treap,
 )
 from tallyfold.llm.common import id_remainder
 from tallyfold.sources import read_table
@@ -101,6 +104,22 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.ranked(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    other = (F.col("label").cast("bigint") + 1) % 10
+    relabelled = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, other).otherwise(F.col("label")))
+    anchors = relabelled.where(F.col("vec_id") % 100 == 0)
+    return hard_negatives.hard_negatives(relabelled, anchors, positives=5, negatives=10, least=30, most=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -164,6 +183,66 @@ FROM placed
 """
 
 
+_RANKED = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents WHERE doc_id IS NOT NULL
+), counts AS (
+    SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+), lengths AS (
+    SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id
+), total AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, total GROUP BY term
+), lens AS (
+    SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM lengths, total
+), items AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark WHERE item_id IS NOT NULL
+    ) GROUP BY ALL
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lens USING (doc_id)
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+_NEGATIVES = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+           CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_near_duplicates,
@@ -176,6 +255,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_duplicates,
         op9_perspectives,
         op10_bpe_round_trip,
+        op11_simhash,
+        op12_ranked_search,
+        op13_hard_negatives,
         pipeline,
     )
     return {query.__name__: _importable(query) for query in own}
@@ -186,4 +268,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_nearest_neighbours": _NEAREST,
         "op8_exact_duplicates": _EXACT,
         "op9_perspectives": _PERSPECTIVES,
+        "op12_ranked_search": _RANKED,
+        "op13_hard_negatives": _NEGATIVES,
     }

@@ -120,7 +120,7 @@ def test_empty_tables_pass_through(spark, mixed):
 def test_queries_with_sql_match_it(spark):
     con = duckdb.connect()
     root = f"{TESTDATA}/sf0.01"
-    for table in ("documents", "embeddings", "conversations"):
+    for table in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{root}/{table}.parquet'")
     for name, sql in registered.oracle_sql().items():
         found = registered.queries()[name](spark, root)
