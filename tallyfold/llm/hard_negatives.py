@@ -41,6 +41,7 @@ BLOCK_BYTES = 32 << 20
 PARTS = 8  # of the candidates, at least
 PART_ROWS = 1 << 20  # of a part, about; more candidates make more parts
 TILE_ROWS, TABLE_BYTES = 1024, 4 << 20  # scored at once
+MOST_TASKS = 1 << 15
 HELD = 8  # times the rows wanted are held of a block before they are thinned out
 
 PACKED = "dim int, vec_id bigint, label bigint, planes binary"
@@ -269,7 +270,9 @@ def tiled(anchors: DataFrame, rows: DataFrame, n_rows: int, planes: int, longest
         if block is not None:
             yield block.found()
 
-    return both.repartition(*tile).sortWithinPartitions(*tile, "kind").mapInArrow(run, FOUND)
+    # As many tasks as tiles: their rows are few bytes and much work.
+    dealt_out = both.repartition(min(blocks * parts, MOST_TASKS), *tile)
+    return dealt_out.sortWithinPartitions(*tile, "kind").mapInArrow(run, FOUND)
 
 
 def best(found: DataFrame, k: int, *slot: str) -> DataFrame:
