@@ -5,7 +5,8 @@ each of a number of hash functions: the least hash of the set as an exponential
 whole power of B close to 1. Registers of a union are the larger registers, and two registers
 are equal about as often as the sets are similar.
 
-1.  Documents with the same set are one class, named by its smallest doc_id. Only classes go on.
+1.  Documents with the same set are one class, with one text, that of its smallest doc_id. Only
+    classes go on.
 2.  Registers are cut into bands; classes that share all registers of a band share a bucket.
 3.  In each bucket one class, chosen anew by band, is compared with all others. The number
     of registers that are larger, smaller and equal, with the known sizes of both sets, gives
@@ -29,9 +30,12 @@ if the estimate is off by more than six standard deviations, 2e-9.
 
 Contract: words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z as a-z. Fewer words
 than five are one shingle. A text that is null, empty or has no words has no shingles, is
-linked with nothing and is its own component. Repeated rows have the same set and so one
+linked with nothing and is its own component. Very long texts are whole sets; one text is held at
+a time beside batches of BATCH_BYTES. Repeated rows have the same set and so one
 class. Rows without doc_id take no part: their component is null and they are kept. Rows that
-share a doc_id and not a text are linked each by its own text. Extra columns are ignored; an empty table gives no rows.
+share a doc_id and not a text are linked each by its own text. Sets are told apart by two 64-bit
+sums of the hashes of their shingles, texts of one doc_id by 64 bits. Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +62,10 @@ FINE = 2048  # further registers, of which one bit each is kept, where buckets s
 TILE = 256  # classes of a block
 LOT = 256  # partners of one class that are confirmed together
 BATCH_BYTES = 1 << 21
+PLACED = 64  # bytes of a word that have a random number for each value and place
 
 _RANDOM = np.random.default_rng(1729)
-_BYTES = _RANDOM.integers(0, 1 << 63, size=256 * 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = _RANDOM.integers(0, 1 << 63, size=256 * PLACED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RANDOM.integers(0, 1 << 63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -104,10 +110,13 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
             place = np.arange(len(data)) - np.repeat(
                 np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]]))
             )
-            value = _BYTES[data.astype(np.int64) * 64 + (place & 63)]
-            value *= ((place >> 6) * 2 + 1).astype(np.uint64)  # words of more than 64 bytes
+            value = _BYTES[data.astype(np.int64) * PLACED + np.minimum(place, PLACED - 1)]
             value[white] = 0
             word = mixed(np.add.reduceat(value, starts))
+            # Longer words are hashed over all their bytes.
+            stops = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+            for i in np.flatnonzero(stops - starts > PLACED):
+                word[i] = xxhash.xxh64_intdigest(data[starts[i] : stops[i]].tobytes(), 1729)
         else:
             word = np.empty(0, np.uint64)
         last = np.cumsum(n_words)
@@ -199,7 +208,7 @@ def likely(
 
 
 def sketches(documents: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, sketch``; the two numbers stand for the set (null: none)."""
+    """``doc_id, n_shingles, set_a, set_b, sketch, text_hash``; two numbers stand for the set (null: none)."""
 
     n = n_bands(percent) * ROWS
 
@@ -213,14 +222,22 @@ def sketches(documents: DataFrame, percent: int) -> DataFrame:
                 int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else None for s in sets
             ],
             "sketch": [registers(s, n).tobytes() if len(s) else None for s in sets],
+            "text_hash": batch.column("text_hash"),
         }
 
-    rows = documents.select(F.col("doc_id").cast("bigint"), whole_text().alias("text"))
     return arrow_map(
-        rows, run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary"
+        named_texts(documents),
+        run,
+        "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, text_hash bigint",
     )
 
 
+def named_texts(documents: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, text``: the first two tell texts apart, even those that share a doc_id."""
+    text = whole_text()
+    return documents.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def _streamed(
     df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table], schema: str
 ) -> DataFrame:
@@ -457,19 +474,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres: list[np.ndarray] = []  # more than one only where rows share a doc_id
-        of = None
+        of = centre = None
         for batch in (part for whole in batches for part in parts(whole)):
             sets = shingles([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             kind, lot = batch.column("kind").to_pylist(), batch.column("lot").to_pylist()
             a, b = batch.column("a").to_pylist(), batch.column("id").to_pylist()
             found = []
             for i, own in enumerate(sets):
-                if (a[i], lot[i]) != of:
-                    of, centres = (a[i], lot[i]), []
                 if kind[i] == 0:
-                    centres.append(own)
-                elif any(similar(centre, own, percent) for centre in centres):
+                    of, centre = (a[i], lot[i]), own
+                elif (a[i], lot[i]) == of and similar(centre, own, percent):
                     found.append(i)
             if found:
                 yield pa.RecordBatch.from_pydict(
@@ -517,20 +531,42 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
-    found = written(sketches(documents, percent))
-    classes = written(
+def set_classes(found: DataFrame) -> DataFrame:
+    """``id, least, text_hash, copies`` and the set and sketch of each class; the row of the least is its text.
+
+    The id is any number of its own, as several classes may share a doc_id. It holds once written.
+    """
+    return (
         found.where("set_a is not null and doc_id is not null")
         .groupBy("set_a", "set_b", "n_shingles")
         .agg(
-            F.min("doc_id").alias("id"),
+            F.min(F.struct("doc_id", "text_hash")).alias("first"),
             F.count(F.lit(1)).alias("copies"),
             F.min("sketch").alias("sketch"),
         )
+        .select(
+            F.monotonically_increasing_id().alias("id"),
+            F.col("first.doc_id").alias("least"),
+            F.col("first.text_hash").alias("text_hash"),
+            *("copies", "set_a", "set_b", "n_shingles", "sketch"),
+        )
     )
+
+
+def class_texts(documents: DataFrame, asked: DataFrame, repeated: bool) -> DataFrame:
+    """``id, text`` of the classes asked for (``id, least, text_hash``), one text each."""
+    asked = asked.select("id", "least", F.col("text_hash").alias("of_hash"))
+    same = (F.col("doc_id") == F.col("least")) & (F.col("text_hash") == F.col("of_hash"))
+    texts = named_texts(documents).join(asked, same).select("id", "text")
+    # Rows that are wholly the same; their text is moved a second time only where there are any.
+    return texts.groupBy("id").agg(F.first("text").alias("text")) if repeated else texts
+
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    found = written(sketches(documents, percent))
+    classes = written(set_classes(found))
     members = classes.select("id", F.col("n_shingles").alias("size"), "sketch")
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text"))
     in_buckets = buckets(members)
     first = written(star_pairs(in_buckets, members, percent))
     # The documents are moved once, for all classes whose text may be asked for.
@@ -539,29 +575,30 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         .unionByName(in_buckets.where("n > 2").select("id"))
         .distinct()
     )
-    texts = written(texts.join(written(asked), "id", "left_semi"))
+    named = written(classes.select("id", "least", "text_hash").join(asked, "id", "left_semi"))
+    again = found.where("set_a is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    texts = written(class_texts(documents, named, not again.where("n > 1").isEmpty()))
     links = written(confirmed(first, texts, percent))
     labels = components(links)
     more = written(confirmed(open_pairs(in_buckets, members, labels, texts, percent), texts, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    named = written(
+    rooted = written(
         classes.join(labels.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
         .where("copies > 1 or label is not null")
-        .select(
-            F.col("set_a").alias("c_a"),
-            F.col("set_b").alias("c_b"),
-            F.col("n_shingles").alias("c_n"),
-            F.coalesce("label", "id").alias("label"),
-        )
+        .select("least", "set_a", "set_b", "n_shingles", F.coalesce("label", "id").alias("root"))
+    )
+    least = written(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component")))
+    sets = rooted.join(least, F.col("root") == F.col("of")).select(
+        F.col("set_a").alias("c_a"), F.col("set_b").alias("c_b"), F.col("n_shingles").alias("c_n"), "component"
     )
     same = (
         (F.col("set_a") == F.col("c_a"))
         & (F.col("set_b") == F.col("c_b"))
         & (F.col("n_shingles") == F.col("c_n"))
     )
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return found.join(named, same, "left").select(
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.join(written(sets), same, "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),

@@ -244,7 +244,7 @@ def shingle_set(text):
     return {tuple(words)} if words else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     """Every pair that shares a shingle is compared; groups are joined one by one."""
     sets = {i: shingle_set(t) for i, t in rows if i is not None}
     having = defaultdict(list)
@@ -261,7 +261,7 @@ def brute_components(rows):
     for b in sorted(sets):
         shared = Counter(a for shingle in sets[b] for a in having[shingle] if a < b)
         for a, both in shared.items():
-            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 low, high = sorted((root(a), root(b)))
                 label[high] = low
     return [
@@ -320,6 +320,56 @@ def test_tiles_meet_members_outside_the_largest_component_once_with_all(spark, m
     assert sum(r.band == 1 for r in found) == 80 + 21
 
 
+def test_long_words_are_told_apart(documents):
+    """Blocks of 64 bytes in another order, alone and in sentences, and texts without blanks."""
+    p, q = "a" * 64, "b" * 64
+    rows = [(1, p + q + q + p), (2, q + p + p + q)]
+    rows += [(10 + i, f"one two {t} four five six seven eight nine ten") for i, (_, t) in enumerate(rows[:2])]
+    rng = random.Random(8)
+    for n, script in enumerate(("字漢語文書中国人大日本年会社", "абвгдежзик", "กขฃคฅฆง", "QWxhZGRpbjpvcGVu")):
+        words = ["".join(rng.choice(script) for _ in range(rng.randrange(1, 90))) for _ in range(20)]
+        for m in range(4):
+            some = words * 3 if m else list(words)
+            some[m] = some[m][::-1]
+            rows.append((100 + 10 * n + m, " ".join(some)))
+    found = by_key(minhash.near_duplicates(documents(rows)).collect())
+    assert found == by_key(brute_components(rows))
+    assert {r[0] for r in found if r[0] == r[2]} >= {1, 2, 10, 11}
+
+
+def test_many_texts_of_few_ids_stay_as_many(documents, spark, monkeypatch):
+    texts = [f"same words here and there {i // 6} in all of these texts but for one {i}" for i in range(240)]
+    texts += [" ".join(f"w{j}" if j != i else "X" for j in range(150)) for i in range(60)]
+    rows = [(1 + i % 2, t) for i, t in enumerate(texts)] + [(7, texts[5])] * 2000
+    sizes = []
+    keep = minhash.written
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count() if "sketch" not in out.columns and "set_a" not in out.columns else 0)
+        if out.columns == ["id", "text"]:
+            assert out.groupBy("id").count().where("count > 1").isEmpty() and out.count() <= 300
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    found = minhash.near_duplicates(documents(rows)).collect()
+    by_text = brute_components([(1000 + i, t) for i, t in enumerate(dict.fromkeys(texts))], 85)
+    of = dict(zip(dict.fromkeys(texts), (r[2] for r in by_text)))
+    least = {}
+    for doc, t in rows:
+        least[of[t]] = min(least.get(of[t], doc), doc)
+    assert by_key((r.doc_id, r.component_id) for r in found) == by_key((d, least[of[t]]) for d, t in rows)
+    assert max(sizes) < 25 * 300  # a row for each band at most
+
+
+def test_sketches_of_a_union_are_the_larger_registers():
+    rng = np.random.default_rng(4)
+    a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (700, 40))
+    both = minhash.registers(np.union1d(a, b), 125)
+    assert (both == np.maximum(minhash.registers(a, 125), minhash.registers(b, 125))).all()
+    assert (both != minhash.registers(a, 125)).any()
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     ids = rng.sample(range(10_000), 400)

@@ -65,7 +65,7 @@ def test_stages_keep_what_brute_force_keeps(spark, mixed):
                 (r[1], -1 if r[0] is None else r[0]) for r in kept
             )
         else:
-            wanted = {i for i, _, _, stays in brute_components([(r[0], r[1]) for r in before]) if stays}
+            wanted = {i for i, _, _, stays in brute_components([(r[0], r[1]) for r in before], 80) if stays}
             assert {r[0] for r in kept} == wanted and len(kept) == len(wanted)
             assert len(kept) < len(before)
         docs = after
