@@ -2,8 +2,8 @@
 
 Documents are dealt out by ranges of doc_id and sorted, so files hold them in ascending
 order. A block is a run of whole documents of one file. In each block the most frequent
-pairs of neighbouring ids are replaced by nonterminals, round after round; a pair never
-spans two documents. A block keeps
+pairs of neighbouring ids are replaced by nonterminals, round after round, until none repeats LEAST
+times or the block has RULES rules; a pair never spans two documents. A block keeps
 
     shard, block      its place: files in order of doc_id, blocks in order within a file
     doc_ids           int64 little-endian, ascending; nulls are listed apart and come first
@@ -19,7 +19,8 @@ written again. A document is found by its symbols alone, and a place inside it b
 expansion lengths, without decoding what comes before.
 
 Contract: null texts count as empty and hold only the end id; rows with the same doc_id are
-ordered by a hash of their text; extra columns are ignored; an empty table gives no rows.
+ordered by a hash of their text; a very long text is one document of one block, which may then be
+longer than BLOCK_TOKENS; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import parts, whole_text, written
-from tallyfold.llm.words import encoder
+from tallyfold.llm.words import encoder, ragged
 from tallyfold.sources import new_shared_folder
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 6
 LEAST = 8  # a pair must repeat so often to become a rule
-CELLS = 1 << 18  # of the table in which pairs are counted; it fits a processor's cache
-RULES = 15_000  # of a block at most, so that most symbols fit 16 bits; the rest stays as it is
+MOST = 8_000  # rules made in one round; pairs left out are counted again
+RULES = 16_000  # of a block at most, so that symbols of 49,408 tokens fit 16 bits
+CELL_BITS = 18
 
 BLOCKS = (
     "shard int, block int, n_docs int, n_tokens bigint, null_ids int, base int, width int, "
@@ -49,61 +50,72 @@ BLOCKS = (
 )
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int = ROUNDS):
-    """Symbols, symbols of each document, rules and their expansion lengths."""
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int | None = None):
+    """Symbols, symbols of each document, rules and their expansion lengths.
+
+    In each round pairs are counted exactly, by sorting, and those that stand LEAST times or more
+    are replaced, the MOST most frequent ones at most. It ends when there is none, when there are
+    RULES rules, or after so many rounds, where a number is given.
+    """
     symbols = ids.astype(np.uint32)
-    last = np.zeros(len(ids), bool)  # of a document: pairs with the next symbol are not taken
+    last = np.zeros(len(ids) + 1, bool)  # of a document: pairs with the next symbol are not taken
     last[np.cumsum(doc_tokens)[doc_tokens > 0] - 1] = True
+    last[-1] = True
+    kind, bits = (np.uint32, 16) if base + RULES <= 1 << 16 else (np.uint64, 32)
+    hashed = kind(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15), kind(2 * bits - CELL_BITS)
     rules = np.empty((0, 2), np.uint32)
     expansions = np.empty(0, np.uint32)
-    for _ in range(rounds):
-        room = RULES - len(rules)
-        if len(symbols) < 2 * LEAST or room <= 0:
-            break
-        cell = symbols[:-1] * np.uint32(0x9E3779B1)
-        cell ^= symbols[1:] * np.uint32(0x85EBCA6B)
-        cell >>= np.uint32(32 - CELLS.bit_length() + 1)
-        cell[last[:-1]] = 0
-        often = np.bincount(cell, minlength=CELLS)
-        often[0] = 0
-        most = min(room, max(64, RULES // rounds))
-        limit = max(LEAST, int(np.partition(often, CELLS - most)[CELLS - most]))
-        at = np.flatnonzero((often >= limit)[cell])
-        # The first pair of a cell stands for it; others that fell there wait for another round.
-        inside = cell[at]
-        pairs = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        first = np.zeros(CELLS, np.uint64)
-        first[inside[::-1]] = pairs[::-1]
-        same = first[inside] == pairs
-        at, inside = at[same], inside[same]
-        counts = np.bincount(inside, minlength=CELLS)
-        ranked = np.flatnonzero(counts >= LEAST)
-        ranked = ranked[np.argsort(-counts[ranked], kind="stable")[:most]]
-        if not len(ranked):
+    touched = np.flatnonzero(~last[:-1])  # left symbols of the pairs to count
+    while len(touched) >= LEAST and len(rules) < RULES and rounds != 0:
+        rounds = rounds and rounds - 1
+        pairs = symbols[touched].astype(kind) << kind(bits) | symbols[touched + 1]
+        order = np.sort(pairs)
+        new = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+        counts = np.diff(np.append(new, len(order)))
+        often = np.flatnonzero(counts >= LEAST)
+        room = min(MOST, RULES - len(rules))
+        every = len(often) <= room
+        if not every:
+            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
+        if not len(often):
             break
-        number = np.full(CELLS, -1, np.int64)
-        number[ranked] = np.arange(len(ranked))
-        chosen = number[inside]
-        at, chosen = at[chosen >= 0], chosen[chosen >= 0]
-        # Of pairs that overlap, every other one from the left is replaced.
+        chosen = order[new[often]]
+        # A table by hash has nearly all places of the chosen pairs; those that share a cell are searched.
+        table = np.full(1 << CELL_BITS, -1, np.int32)
+        table[chosen * hashed[0] >> hashed[1]] = np.arange(len(chosen))
+        which = table[pairs * hashed[0] >> hashed[1]]
+        some = np.flatnonzero(which >= 0)
+        which, found = which[some], pairs[some]
+        other = np.flatnonzero(chosen[which] != found)
+        which[other] = np.minimum(np.searchsorted(chosen, found[other]), len(chosen) - 1)
+        same = chosen[which] == found
+        at, which = touched[some[same]], which[same]
+        # Of pairs that overlap, every other one from the left is replaced, and the others vanish.
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at, chosen = at[place % 2 == 0], chosen[place % 2 == 0]
-        present = np.zeros(len(ranked), bool)
-        present[chosen] = True
-        chosen = (np.cumsum(present) - 1)[chosen]
-        rule = first[ranked[present]]
-        left = (rule >> np.uint64(32)).astype(np.uint32)
-        right = (rule & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at, which = at[place % 2 == 0], which[place % 2 == 0]
+        present = np.zeros(len(chosen), bool)
+        present[which] = True
+        number = np.cumsum(present) - 1
+        left = (chosen[present] >> kind(bits)).astype(np.uint32)
+        right = (chosen[present] & kind((1 << bits) - 1)).astype(np.uint32)
         size = np.concatenate([np.ones(base, np.uint32), expansions])
-        symbols[at] = base + len(rules) + chosen
+        symbols[at] = base + len(rules) + number[which]
         last[at] = last[at + 1]
-        stay = np.ones(len(symbols), bool)
+        stay = np.ones(len(last), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols, last = symbols[stay[:-1]], last[stay]
         rules = np.concatenate([rules, np.stack([left, right], axis=1)])
         expansions = np.concatenate([expansions, size[left] + size[right]])
-    ends = np.flatnonzero(last) + 1
+        if every:
+            # Pairs of symbols that were there before are now too rare: those with a new one are left.
+            at -= np.arange(len(at))
+            fresh = np.zeros(len(last), bool)
+            fresh[at] = fresh[at - 1] = True
+            touched = np.flatnonzero(fresh & ~last)
+        else:
+            touched = np.flatnonzero(~last[:-1])
+    ends = np.flatnonzero(last[:-1]) + 1
     doc_symbols = np.zeros(len(doc_tokens), np.int64)
     doc_symbols[doc_tokens > 0] = np.diff(ends, prepend=0)
     return symbols, doc_symbols, rules, expansions
@@ -139,7 +151,12 @@ class Block:
 
     def ids(self) -> np.ndarray:
         """Of all documents, one after the other."""
-        return expand(self.symbols, self.base, self.rules)
+        # What each rule stands for is made once; symbols are then looked up.
+        pool = expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32), self.base, self.rules)
+        count = np.concatenate([np.ones(self.base, np.int64), self.expansions])
+        first = np.cumsum(count) - count
+        pool = np.concatenate([np.arange(self.base, dtype=np.uint32), pool])
+        return ragged(pool, first[self.symbols], count[self.symbols])
 
     def slice(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the document at place ``doc`` of the block."""
@@ -193,10 +210,12 @@ def write_ids(documents: DataFrame, path: str, folder: str, end_id: int = 2) ->
         for batch in (part for whole in batches for part in parts(whole)):
             names = batch.column("doc_id").to_pylist()
             for rows, flat, lengths in own.batches(batch.column("text").to_pylist()):
-                for doc, run_ids in zip(names[rows], np.split(flat, np.cumsum(lengths)[:-1])):
+                ends = np.cumsum(lengths)
+                flat, ends = np.insert(flat, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                for doc, run_ids in zip(names[rows], np.split(flat, ends[:-1])):
                     docs.append(doc)
-                    ids.append(np.append(run_ids, end_id))
-                    held += len(ids[-1])
+                    ids.append(run_ids)
+                    held += len(run_ids)
                     if held >= BLOCK_TOKENS:
                         yield full()
                         docs, ids, held, block = [], [], 0, block + 1

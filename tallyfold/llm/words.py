@@ -26,6 +26,7 @@ LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 RANGE = 0x250  # Latin; nothing below it composes
 HASHED = 32  # characters of a pre-token that the table of random numbers covers
 BATCH_CHARS = 1 << 21
+CELL_BITS = 22  # of the table by which known pre-tokens are found
 KNOWN = 1_500_000  # distinct pre-tokens remembered by a Python worker; more are encoded again
 
 
@@ -182,7 +183,12 @@ class Splitter:
 
 
 class Book:
-    """What is known of each distinct pre-token: a run of numbers, made once by ``make``."""
+    """What is known of each distinct pre-token: a run of numbers, made once by ``make``.
+
+    Pre-tokens are known by 64-bit hashes of their characters alone, which are random sums, or XXH64
+    where they are long: among the 1.5 million that one worker remembers, two have the same hash
+    with a chance of 6e-8.
+    """
 
     def __init__(self, make: Callable[[list[str]], list], known: int = KNOWN):
         self.make, self.known = make, known
@@ -192,34 +198,44 @@ class Book:
         self.keys = np.empty(0, np.uint64)
         self.first = self.count = np.empty(0, np.int64)
         self.pool = np.empty(0, np.int32)
-
-    def _missing(self, unique):
-        at = np.searchsorted(self.keys, unique)
-        new = np.ones(len(unique), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != unique[inside]
-        return at, new
+        self.table = np.full(1 << CELL_BITS, -1, np.int32)  # a key of each cell
+        self.other: dict[int, int] = {}  # keys whose cell was taken
+
+    def _add(self, keys: np.ndarray, made: list) -> None:
+        count = np.fromiter(map(len, made), np.int64, len(made))
+        first = len(self.pool) + np.cumsum(count) - count
+        flat = np.fromiter((x for run in made for x in run), np.int32, int(count.sum()))
+        number = len(self.keys) + np.arange(len(keys))
+        self.pool = np.concatenate([self.pool, flat])
+        self.keys = np.concatenate([self.keys, keys])
+        self.first = np.concatenate([self.first, first])
+        self.count = np.concatenate([self.count, count])
+        cell = keys >> np.uint64(64 - CELL_BITS)
+        free = np.flatnonzero(self.table[cell] < 0)
+        self.table[cell[free]] = number[free]
+        taken = self.table[cell] != number
+        self.other.update(zip(keys[taken].tolist(), number[taken].tolist()))
 
     def look(self, hashes, codes, starts, stops):
         """``first`` and ``count`` into ``pool`` for every pre-token."""
-        unique, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at, new = self._missing(unique)
-        if len(self.keys) + np.count_nonzero(new) > self.known:
-            self._clear()
-            at, new = self._missing(unique)
-        if new.any():
-            text = codes.astype("<u4").tobytes().decode("utf-32-le")
-            where = index[new]
-            made = self.make([text[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())])
-            count = np.fromiter(map(len, made), np.int64, len(made))
-            first = len(self.pool) + np.cumsum(count) - count
-            flat = np.fromiter((x for run in made for x in run), np.int32, int(count.sum()))
-            self.pool = np.concatenate([self.pool, flat])
-            self.keys = np.insert(self.keys, at[new], unique[new])
-            self.first = np.insert(self.first, at[new], first)
-            self.count = np.insert(self.count, at[new], count)
-            at = np.searchsorted(self.keys, unique)
-        at = at[inverse]
+        at = self.table[hashes >> np.uint64(64 - CELL_BITS)].astype(np.int64)
+        if len(self.keys):
+            at[self.keys[at] != hashes] = -1
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unique, index, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            place = np.fromiter((self.other.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
+            new = np.flatnonzero(place < 0)
+            if len(self.keys) and len(self.keys) + len(new) > self.known:
+                self._clear()
+                return self.look(hashes, codes, starts, stops)
+            if len(new):
+                text = codes.astype("<u4").tobytes().decode("utf-32-le")
+                where = missing[index[new]]
+                words = [text[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())]
+                place[new] = len(self.keys) + np.arange(len(new))
+                self._add(unique[new], self.make(words))
+            at[missing] = place[inverse]
         return self.first[at], self.count[at]
 
 

@@ -166,6 +166,53 @@ def test_grammars_expand_to_what_they_were_made_of(seed):
         assert block.slice(place, a, b).tolist() == docs[place][a:b].tolist()
 
 
+def left_over(symbols, doc_symbols):
+    """How often the commonest pair inside documents still stands."""
+    inside = np.ones(max(0, len(symbols) - 1), bool)
+    inside[np.cumsum(doc_symbols)[:-1] - 1] = False
+    pairs = Counter(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist()))
+    return max(pairs.values(), default=0)
+
+
+def test_no_pair_that_repeats_is_left_and_more_rounds_never_give_more_symbols(spark, monkeypatch):
+    from tallyfold.llm.words import encoder
+
+    rows = spark.read.parquet(f"{TESTDATA}/sf0.1/documents.parquet").where("doc_id < 2300").orderBy("doc_id")
+    _, flat, sizes = next(encoder(WORD).batches([r.text for r in rows.collect()], chars=1 << 30))
+    assert len(flat) > 800_000
+    for most, bits in ((token_files.MOST, 18), (2500, 6)):
+        monkeypatch.setattr(token_files, "MOST", most)
+        monkeypatch.setattr(token_files, "CELL_BITS", bits)
+        before = len(flat)
+        for rounds in (1, 2, 3, 6, 20, None):
+            symbols, doc_symbols, rules, _ = token_files.compress(flat, sizes, 49_408, rounds)
+            assert len(symbols) <= before and len(np.unique(rules, axis=0)) == len(rules)
+            assert (token_files.expand(symbols, 49_408, rules) == flat).all()
+            before = len(symbols)
+        assert left_over(symbols, doc_symbols) < token_files.LEAST and before <= 0.56 * len(flat)
+    monkeypatch.setattr(token_files, "RULES", 100)
+    symbols, doc_symbols, rules, _ = token_files.compress(flat, sizes, 49_408)
+    assert len(rules) == 100 and left_over(symbols, doc_symbols) >= token_files.LEAST
+    # Ids that do not fit 16 bits.
+    symbols, _, rules, _ = token_files.compress(flat + 100_000, sizes, 200_000)
+    assert (token_files.expand(symbols, 200_000, rules) == flat + 100_000).all()
+
+
+def test_pre_tokens_that_share_a_cell_are_told_apart(monkeypatch):
+    from tallyfold.llm import words
+
+    monkeypatch.setattr(words, "CELL_BITS", 3)
+    texts = some_texts(60)
+    for known in (10_000, 40):
+        encoder = words.Encoder(WORD)
+        encoder.book = words.Book(encoder.make, known)
+        for _ in range(2):
+            found = []
+            for _, ids, lengths in encoder.batches(texts, chars=300):
+                found += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+            assert found == [ids_of(WORD, t) for t in texts]
+
+
 def check_pieces(rows, documents_, path, end):
     texts = {}
     for doc, text in documents_:
