@@ -589,6 +589,30 @@ def test_toxicity_of_odd_rows(spark, documents, marks):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_the_toxicity_sample_is_bounded_before_it_is_collected(spark, documents, monkeypatch):
+    held = {}
+
+    class Model(toxicity.Model):
+        def __init__(self, texts, toxic):
+            held["texts"] = list(zip(texts, toxic.tolist()))
+            super().__init__(texts, toxic)
+
+    monkeypatch.setattr(toxicity, "Model", Model)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 300)
+    monkeypatch.setattr(toxicity, "LONGEST_SAMPLED", 200)
+    rows = [(1, f"text {i} of one id") for i in range(500)] + [(i, f"word {i} " * 5) for i in range(2, 40)]
+    rows += [(40, "x" * 201), (2, "word 2 " * 5)]
+    marks = [(i, i % 2) for i in range(1, 41)] + [(1, 1), (2, 1)]
+    labels = spark.createDataFrame(
+        [(i, n, 1, "x") for i, n in marks], "doc_id bigint, toxic int, id int, text string"
+    )
+    toxicity.learn(documents(rows), labels)
+    for label in (0, 1):
+        own = [t for t, n in held["texts"] if n == label]
+        assert 200 < sum(map(len, own)) <= 300 and max(map(len, own)) <= 200
+    assert sum("one id" in t for t, _ in held["texts"]) <= 1
+
+
 # Dialogues
 
 
