@@ -9,11 +9,13 @@ length is never one row or one task. Rendered text:
     <|user name={speaker}|>\\n{text}<|end|>\\n the others'
     <|system|>\\n{text}<|end|>\\n             turns of a context role, which no participant takes
 
-Places are added up in two steps: within blocks of turns, and over the blocks' totals.
+Places are added up in two steps: within blocks of turns, and over the blocks' totals. Blocks are
+ranges of the whole order, of about BLOCK_TURNS rows, so they split a dialogue of any length even
+where turns are null or tied.
 
 Contract: turns are ordered by turn, role and text, nulls first; rows that are wholly the same
 are rendered once each. Null text counts as empty, a null role as the speaker ``unknown``;
-rows without conv_id are one dialogue. A dialogue with context turns only has no participant
+rows without conv_id are one dialogue. Very long texts are one row each. A dialogue with context turns only has no participant
 and gives no rows. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -25,10 +27,18 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import whole_text, written
 
 CONTEXT = ("system",)
-BLOCK_TURNS = 256
+BLOCK_TURNS = 1 << 15
 END = "<|end|>"
 
 
+def in_blocks(turns: DataFrame) -> DataFrame:
+    """Distinct turns with their ``block``: ranges of (conv_id, turn, speaker, text), in that order."""
+    turns = written(turns)
+    n = max(-(-turns.count() // BLOCK_TURNS), int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "speaker", "text")]
+    return written(turns.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id()))
+
+
 def perspectives(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     """``conv_id, assistant, place, turn, speaker, rendered, start, stop, train_start, train_stop``.
 
@@ -45,6 +55,7 @@ def perspectives(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -
         .groupBy("conv_id", "turn", "speaker", "text")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
+    turns = in_blocks(turns)
     speakers = written(
         conversations.select(
             F.col("conv_id").cast("bigint").alias("of"),
@@ -62,7 +73,7 @@ def perspectives(conversations: DataFrame, context: tuple[str, ...] = CONTEXT) -
         turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
         .select(
             "conv_id", "assistant", "turn", "speaker", "copies",
-            F.floor(F.col("turn") / BLOCK_TURNS).alias("block"),
+            "block",
             F.length(head).cast("bigint").alias("head_size"),
             F.concat(head, "text", F.lit(END + "\n")).alias("rendered"),
             "text",

@@ -648,6 +648,22 @@ def test_perspectives_match_brute_force(spark, monkeypatch):
     assert by_key(found.collect()) == by_key(brute_perspectives(rows))
 
 
+def test_blocks_split_null_and_tied_turns_in_order(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 50)
+    rows = [(None if i % 3 else 1, None if i % 2 else 7, f"s{i % 4}", f"text {i:05}", 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, speaker string, text string, copies bigint")
+    found = chat.in_blocks(df).collect()
+    sizes = Counter(r.block for r in found)
+    assert len(found) == 4000 and max(sizes.values()) <= 4 * 50
+    low = -(1 << 60)
+    order = sorted(found, key=lambda r: (r.conv_id or low, r.turn or low, r.speaker, r.text))
+    assert [r.block for r in order] == sorted(r.block for r in found)
+    turns = df.select("conv_id", F.lit(None).cast("bigint").alias("turn"), F.col("speaker").alias("role"), "text")
+    turns = turns.where("text < 'text 00300'")
+    found = chat.perspectives(turns)
+    assert by_key(found.collect()) == by_key(brute_perspectives([tuple(r) for r in turns.collect()]))
+
+
 # Empty tables
 
 
