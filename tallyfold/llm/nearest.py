@@ -1,44 +1,49 @@
 """Nearest neighbours by inner product: a block matrix join with error bounds.
 
-Queries are dealt into blocks by a hash, as many as it takes, and candidates into
-parts of about PART_ROWS rows, PARTS of them at least.
-Each block meets each part in one tile: the queries are held, the candidates pass by. Vectors
-are quantised to int8 and multiplied (as whole numbers in float32, which is exact); the product
-of two codes differs from the true inner product by a bounded error, known from what quantising
-left over. A candidate survives unless its upper bound is below the k-th largest lower bound of
-its query, or below the k-th best score so far. Survivors are computed again in double precision
-on the original vectors, each tile keeps the k best of each query by a heap, and the heaps of
-these tiles are merged.
-
-Nothing is lost by the bounds, so the result is that of brute force.
+Vectors are quantised to int8 once. Queries are dealt into blocks by a hash, as many as it takes,
+and candidates into parts of about PART_ROWS rows, PARTS of them at least; what is dealt is codes, a
+byte for each component, with the step and two lengths of each vector. Each block meets each part in
+one tile: the queries are held, the candidates pass by. Codes are multiplied (as whole numbers in
+float32, which is exact); the product of two codes differs from the true inner product by a bounded
+error, known from what quantising left over. A candidate survives unless its upper bound is below the
+k-th largest lower bound of its query, in its tile and then over all tiles. Only survivors' vectors
+are fetched, by a join on the row, and their products computed in double precision; the k best of
+each query are kept by bounded heaps ahead of the last shuffle and after it (Spark's group limit).
+
+Of equal vectors, which tie, only those that can be among the k best are candidates: the k + 1
+smallest ids, k rows of each. So a vector that fills much of the table does not survive often.
+
+Nothing is lost by the bounds, so the result is that of brute force. Vectors nearer to each other
+than the error of their codes all survive where they are among the best.
 
 Contract: vectors that are null, empty, zero, or hold a null or a non-finite number take no
 part. Vectors of different lengths are not compared. Of ties the smaller vec_id is first.
 A row is never compared with rows of its own vec_id; apart from that, each repeated row is a
 candidate of its own, while equal rows are one query. Rows without vec_id take no part. Extra
-columns are ignored.
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.llm.common import written
+
 BLOCK_QUERIES = 16384  # of a block at most; BLOCK_BYTES may make it fewer
 BLOCK_BYTES = 16 << 20
 PARTS = 8  # of the candidates, at least; each block of queries meets each part in one tile
 PART_ROWS = 1 << 20  # of a part, about; more candidates make more parts
 TILE_QUERIES, TILE_ROWS = 512, 2048  # multiplied at once
 EXACT_DIMS = 1024  # products of so many int8 pairs add up exactly in float32
-MERGED = 64  # times k rows are held of a query while its heaps are merged
-PAIRS_AT_ONCE = 1 << 18
-FOUND = "query_id bigint, query_hash bigint, vec_id bigint, score double"
+MOST_TASKS = 1 << 15
+HELD = 1 << 20  # survivors held of a tile before those ruled out since are dropped
+CODED = "row bigint, vec_id bigint, dim int, codes binary, step double, length double, rest double"
+FOUND = "query bigint, row bigint, low double, high double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -55,25 +60,73 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-class Quantised:
+def candidates_of(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among the k best of a query: of equal vectors only the first."""
+    digest = F.xxhash64("embedding")
+    many = written(
+        rows.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("digest")
+    )
+    if many.isEmpty():
+        return rows
+    named = rows.withColumn("digest", digest)
+    copies = named.join(many, "digest", "left_semi")
+    by_id = Window.partitionBy("digest", "embedding").orderBy("vec_id")
+    by_row = Window.partitionBy("digest", "embedding", "vec_id").orderBy("row")
+    # Both are cut ahead of their shuffles, so that no task gets all copies.
+    copies = copies.withColumn("place", F.row_number().over(by_row)).where(F.col("place") <= k).drop("place")
+    copies = copies.withColumn("place", F.dense_rank().over(by_id)).where(F.col("place") <= k + 1).drop("place")
+    return named.join(many, "digest", "left_anti").unionByName(copies).drop("digest")
+
+
+def coded(rows: DataFrame) -> DataFrame:
     """Codes of one byte, the step of each vector, and the lengths that bound the error."""
 
-    def __init__(self, vectors: np.ndarray):
-        self.step = np.abs(vectors).max(axis=1, keepdims=True) / 127
-        self.step[self.step == 0] = 1  # too small to divide; its codes are 0, all is left over
-        self.codes = np.rint(vectors / self.step).astype(np.int8)
-        about = self.codes * self.step
-        self.size = np.linalg.norm(about, axis=1)
-        self.left = np.linalg.norm(vectors - about, axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("embedding")
+            flat, ends = vectors.flatten().to_numpy(), np.cumsum(np.diff(vectors.offsets.to_numpy()))
+            dims = np.diff(ends, prepend=0)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                part = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
+                step = np.abs(part).max(axis=1) / 127
+                step[step == 0] = 1  # too small to divide; its codes are 0, all is left over
+                codes = np.rint(part / step[:, None]).astype(np.int8)
+                about = codes * step[:, None]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row").take(pa.array(at)),
+                        batch.column("vec_id").take(pa.array(at)),
+                        pa.array(np.full(len(at), dim, np.int32)),
+                        pa.array([c.tobytes() for c in codes], pa.binary()),
+                        pa.array(step),
+                        pa.array(np.linalg.norm(about, axis=1)),
+                        pa.array(np.linalg.norm(part - about, axis=1)),
+                    ],
+                    names=["row", "vec_id", "dim", "codes", "step", "length", "rest"],
+                )
+
+    return rows.select("row", "vec_id", "embedding").mapInArrow(run, CODED)
+
+
+class Quantised:
+    """Some vectors of one length, as codes."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch):
+        self.rows, self.ids, self.step, self.length, self.rest = (
+            rows.column(c).to_numpy() for c in ("row", "vec_id", "step", "length", "rest")
+        )
+        flat = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int8)
+        self.codes = flat.reshape(rows.num_rows, -1)
 
 
-def products(a: Quantised, b: Quantised) -> np.ndarray:
-    """Inner products of the quantised vectors."""
-    total = np.zeros((len(a.codes), len(b.codes)))
-    for d in range(0, a.codes.shape[1], EXACT_DIMS):
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of codes."""
+    total = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], EXACT_DIMS):
         part = slice(d, d + EXACT_DIMS)
-        total += a.codes[:, part].astype(np.float32) @ b.codes[:, part].astype(np.float32).T
-    return total * a.step * b.step.T
+        total += a[:, part].astype(np.float32) @ b[:, part].astype(np.float32).T
+    return total
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -85,152 +138,154 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """A block of queries, and the k best candidates of each so far."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.parts = [
-            (slice(i, i + TILE_QUERIES), Quantised(vectors[i : i + TILE_QUERIES]))
-            for i in range(0, len(ids), TILE_QUERIES)
-        ]
-        self.best: list[list[tuple[float, int]]] = [[] for _ in ids]  # (-score, vec_id)
-        self.least = np.full(len(ids), -np.inf)  # the k-th best score, once there are k
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Compare with one block of candidates."""
-        block = Quantised(vectors)
-        for rows, part in self.parts:
-            about = products(part, block)
+    """A block of queries, and the candidates of each that may be among its k best."""
+
+    def __init__(self, asked: Quantised, k: int):
+        self.asked, self.k = asked, k
+        self.least = np.full(len(asked.rows), -np.inf)  # the k-th largest lower bound, once there are k
+        self.held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 2 + (np.empty(0),) * 2]
+        self.size, self.room = 0, HELD
+
+    def add(self, block: Quantised) -> None:
+        """Compare with some candidates."""
+        for i in range(0, len(self.asked.rows), TILE_QUERIES):
+            some = slice(i, i + TILE_QUERIES)
+            length, rest = self.asked.length[some], self.asked.rest[some]
+            about = products(self.asked.codes[some], block.codes)
+            about *= self.asked.step[some, None] * block.step
             # By Cauchy-Schwarz on what was left over; the last two terms allow for rounding.
-            error = np.outer(part.left, block.size + block.left) + np.outer(part.size, block.left)
+            error = np.outer(rest, block.length + block.rest) + np.outer(length, block.rest)
             error *= 1 + 1e-9
-            error += 1e-12 * np.outer(part.size + part.left, block.size + block.left) + 1e-300
-            own = self.ids[rows, None] == ids[None, :]
-            low = np.where(own, -np.inf, about - error)
-            least = self.least[rows]
-            if low.shape[1] > self.k:
+            error += 1e-12 * np.outer(length + rest, block.length + block.rest) + 1e-300
+            own = self.asked.ids[some, None] == block.ids[None, :]
+            low, high = about - error, about + error
+            # Sums that overflow bound nothing.
+            low[own | ~np.isfinite(low)] = -np.inf
+            high[np.isnan(high)] = np.inf
+            least = self.least[some]
+            if low.shape[1] >= self.k:
                 at = low.shape[1] - self.k
-                least = np.maximum(least, np.partition(low, at, axis=1)[:, at])
-            # Put this way round, sums that overflow survive as well.
-            where, which = np.nonzero(~(about + error < least[:, None]) & ~own)
-            where += rows.start
-            score = np.concatenate(
-                [
-                    inner(self.vectors[where[i : i + PAIRS_AT_ONCE]], vectors[which[i : i + PAIRS_AT_ONCE]])
-                    for i in range(0, len(where), PAIRS_AT_ONCE)
-                ]
-                or [np.empty(0)]
-            )
-            new = np.flatnonzero(np.diff(where, prepend=-1))
-            found = list(zip((-score).tolist(), ids[which].tolist()))
-            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(where)]):
-                q = int(where[i])
-                best = self.best[q] = heapq.nsmallest(self.k, self.best[q] + found[i:j])
-                if len(best) == self.k:
-                    self.least[q] = -best[-1][0]
+                np.maximum(least, np.partition(low, at, axis=1)[:, at], out=least)
+            query, which = np.nonzero((high >= least[:, None]) & ~own)
+            self.held.append((query + i, block.rows[which], low[query, which], high[query, which]))
+            self.size += len(query)
+        if self.size > self.room:
+            self.thin()
+            self.room = max(HELD, 2 * self.size)
+
+    def thin(self) -> None:
+        query, row, low, high = (np.concatenate(x) for x in zip(*self.held))
+        stay = high >= self.least[query]
+        self.held = [(query[stay], row[stay], low[stay], high[stay])]
+        self.size = int(stay.sum())
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        self.thin()
+        query, row, low, high = self.held[0]
+        table = pa.table({"query": self.asked.rows[query], "row": row, "low": low, "high": high})
+        yield from table.to_batches(max_chunksize=1 << 16)
 
 
 def n_parts(candidates: int) -> int:
     return max(PARTS, -(-candidates // PART_ROWS))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k candidates with the largest inner products."""
-    rows, asked = usable(vectors), usable(queries).distinct()
-    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    parts = n_parts(rows.count())
-    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * (longest or 1))))
-    blocks = max(1, -(-n // block))
+def survivors(asked: DataFrame, rows: DataFrame, blocks: int, parts: int, k: int) -> DataFrame:
+    """``query, row, low, high``: pairs whose upper bound is not below the query's k-th lower one."""
+    tile = ["dim", "query_block", "part"]
 
-    def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int, kind: int) -> DataFrame:
+    def dealt(df: DataFrame, own: str, n: int, other: str, copies: int, kind: int) -> DataFrame:
         return df.select(
-            F.size("embedding").alias("dim"),
-            F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)).cast("int").alias(own),
+            "*",
+            F.pmod(F.xxhash64("vec_id", "codes", "row"), F.lit(n)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
             F.lit(kind).alias("kind"),
-            "vec_id",
-            "embedding",
         )
 
     # A tile: its queries first, then its candidates, as many as there are.
-    tile = ["dim", "query_block", "part"]
     tiles = (
         dealt(asked, "query_block", blocks, "part", parts, 0)
         .unionByName(dealt(rows, "part", parts, "query_block", blocks, 1))
-        .repartition(*tile)
+        .repartition(min(blocks * parts, MOST_TASKS), *tile)
         .sortWithinPartitions(*tile, "kind")
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, asked_ids, asked_vectors, state = None, [], [], None
-
-        def full() -> pa.RecordBatch:
-            digest = [xxhash.xxh64_intdigest(v.tobytes()) - (1 << 63) for v in state.vectors]
-            size = [len(b) for b in state.best]
-            flat = [x for b in state.best for x in b]
-            return pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array(np.repeat(state.ids, size), pa.int64()),
-                    "query_hash": pa.array(np.repeat(np.array(digest, np.int64), size)),
-                    "vec_id": pa.array([v for _, v in flat], pa.int64()),
-                    "score": pa.array([-s for s, _ in flat], pa.float64()),
-                }
-            )
-
+        of, held, state = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in [*tile, "kind"]], axis=1)
-            ids = batch.column("vec_id").to_numpy()
-            flat = batch.column("embedding").flatten().to_numpy()
-            ends = np.cumsum(keys[:, 0], dtype=np.int64)
             border = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
             for a, b in zip([0, *border.tolist()], [*border.tolist(), len(keys)]):
-                here, kind, dim = tuple(keys[a, :3].tolist()), int(keys[a, 3]), int(keys[a, 0])
+                here = tuple(keys[a, :3].tolist())
                 if here != of:
                     if state is not None:
-                        yield full()
-                    of, asked_ids, asked_vectors, state = here, [], [], None
-                part = flat[ends[a] - dim : ends[b - 1]].reshape(-1, dim)
-                if kind == 0:
-                    asked_ids.append(ids[a:b].copy())
-                    asked_vectors.append(part.copy())
-                elif asked_ids:
+                        yield from state.found()
+                    of, held, state = here, [], None
+                part = batch.slice(a, b - a)
+                if keys[a, 3] == 0:
+                    held.append(part)
+                elif held:
                     if state is None:
-                        state = Search(np.concatenate(asked_ids), np.concatenate(asked_vectors), k)
+                        state = Search(Quantised(pa.Table.from_batches(held)), k)
                     for i in range(0, b - a, TILE_ROWS):
-                        state.add(ids[a + i : min(b, a + i + TILE_ROWS)], part[i : i + TILE_ROWS])
+                        state.add(Quantised(part.slice(i, TILE_ROWS)))
         if state is not None:
-            yield full()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, heap = None, []
-
-        def full() -> pa.RecordBatch:
-            best = heapq.nsmallest(k, heap)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array([of[0]] * len(best), pa.int64()),
-                    "rank": pa.array(range(1, len(best) + 1), pa.int32()),
-                    "vec_id": pa.array([v for _, v in best], pa.int64()),
-                    "score": pa.array([-s for s, _ in best], pa.float64()),
-                }
-            )
+            yield from state.found()
+
+    found = written(tiles.mapInArrow(search, FOUND))
+    by_low = Window.partitionBy("query").orderBy(F.desc("low"))
+    limit = (
+        found.select("query", "low")
+        .withColumn("place", F.row_number().over(by_low))
+        .where(F.col("place") <= k)
+        .groupBy(F.col("query").alias("of"))
+        .agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") == k)
+    )
+    return (
+        found.join(limit, F.col("query") == F.col("of"), "left")
+        .where(F.col("least").isNull() | (F.col("high") >= F.col("least")))
+        .select("query", "row")
+    )
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k candidates with the largest inner products."""
+    numbered = F.monotonically_increasing_id().alias("row")  # holds once written
+    rows = written(usable(vectors).select(numbered, "vec_id", "embedding"))
+    asked = written(usable(queries).distinct().select(numbered, "vec_id", "embedding"))
+    n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    parts = n_parts(rows.count())
+    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (longest or 1)))
+    pairs = survivors(
+        written(coded(asked)), written(coded(candidates_of(rows, k))), max(1, -(-n // block)), parts, k
+    )
+    both = pairs.join(rows.withColumnRenamed("embedding", "other"), "row").join(
+        asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "embedding"), "query"
+    )
 
-        # A query has k rows from each part at most.
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != of:
-                    if heap:
-                        yield full()
-                    of, heap = row[:2], []
-                heap.append((-row[3], row[2]))
-                if len(heap) > MERGED * k:
-                    heap = heapq.nsmallest(k, heap)
-        if heap:
-            yield full()
+            a, b = batch.column("embedding"), batch.column("other")
+            ends = np.cumsum(np.diff(a.offsets.to_numpy()))
+            dims = np.diff(ends, prepend=0)
+            x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
+            total = np.empty(batch.num_rows)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                place = (ends[at] - dim)[:, None] + np.arange(dim)
+                total[at] = inner(x[place], y[place])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query"), batch.column("query_id"), batch.column("vec_id"), pa.array(total)],
+                names=["query", "query_id", "vec_id", "score"],
+            )
 
+    scored = both.select("query", "query_id", "vec_id", "embedding", "other").mapInArrow(
+        score, "query bigint, query_id bigint, vec_id bigint, score double"
+    )
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (
-        tiles.mapInArrow(search, FOUND)
-        .repartition("query_id", "query_hash")
-        .sortWithinPartitions("query_id", "query_hash")
-        .mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")
+        scored.withColumn("rank", F.row_number().over(order).cast("int"))
+        .where(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
     )

@@ -493,6 +493,18 @@ def test_search_matches_brute_force(spark, monkeypatch):
     assert by_key(found.collect()) == by_key(brute_nearest(rows, 20))
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_copies_of_one_vector_survive_k_times(spark, monkeypatch, repeated):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(200)]
+    rows += [((205 if repeated and i % 2 else 1000) + i % 1000 * (not repeated), [3.0, 3.0, 0.0, -0.0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    numbered = nearest.usable(df).withColumn("row", F.monotonically_increasing_id())
+    assert nearest.candidates_of(numbered, 5).where("embedding[0] = 3").count() == (10 if repeated else 6)
+    found = nearest.nearest(df, df.where("vec_id % 20 = 0"), k=5)
+    assert by_key(found.collect()) == by_key(brute_nearest(rows, 5))
+
+
 def test_more_candidates_make_more_parts(spark, monkeypatch):
     monkeypatch.setattr(nearest, "PART_ROWS", 5)
     assert nearest.n_parts(3) == 8 and nearest.n_parts(500) == 100
