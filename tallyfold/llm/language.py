@@ -24,7 +24,8 @@ from tallyfold.llm.common import arrow_map, rows_where, whole_text
 
 BUCKETS = 1 << 16
 DOCS_PER_LANGUAGE = 4000  # expected size of the training sample of each language
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 256  # their counts, table and model take MODEL_BYTES in the driver at most
+MODEL_BYTES = MOST_LANGUAGES * BUCKETS * (16 + 4 + 4)  # 0.4 GB; what is broadcast is a sixth
 SMOOTH = 0.1
 OVERLAP = 3  # each character is in three trigrams; likelihoods count a third
 STEPS = 25
@@ -60,9 +61,9 @@ class Model:
     def __init__(self, names: list[str], counts: np.ndarray):
         """``counts``: a row for each language, a column for each bucket."""
         self.names = names
-        share = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
-        noise = np.full((1, BUCKETS), 1 / BUCKETS)
-        self.chance = np.ascontiguousarray(np.concatenate([share, noise]).T, dtype=np.float32)
+        self.chance = np.full((BUCKETS, len(names) + 1), 1 / BUCKETS, np.float32)  # the last: noise
+        for i, row in enumerate(counts):
+            self.chance[:, i] = (row + SMOOTH) / (row.sum() + SMOOTH * BUCKETS)
 
     def shares(self, text: str) -> tuple[np.ndarray, float]:
         """Share of each language, the last one of noise; how many letters' worth of evidence."""
@@ -156,8 +157,10 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
     counts_of = arrow_map(sample, count, "lang int, bucket int, n bigint", rows=1 << 20)
     summed = counts_of.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = summed.toArrow()  # at most BUCKETS rows for each language
-    counts = np.zeros((len(names), BUCKETS))
-    counts[table["lang"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
+    counts = np.zeros((len(names), BUCKETS), np.uint32)
+    for part in table.to_batches():
+        at = part.column("lang").to_numpy(), part.column("bucket").to_numpy()
+        counts[at] = np.minimum(part.column("n").to_numpy(), np.iinfo(np.uint32).max)
     return Model(names, counts)
 
 

@@ -547,6 +547,35 @@ def test_a_mixed_text_has_both_languages():
     assert model.predict("12 !?")[0] == language.UNKNOWN
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_the_set_chosen_is_the_best_of_all_sets(seed):
+    """Penalised likelihoods of every set of up to five components, each by expectation-maximisation."""
+    rng = np.random.default_rng(seed)
+    chance = rng.dirichlet(np.full(60, 0.3), 4).T + 1e-4
+    chance = np.concatenate([chance / chance.sum(axis=0), np.full((60, 1), 1 / 60)], axis=1)
+    shares = np.zeros(5)
+    some = rng.choice(4, rng.integers(1, 4), replace=False)
+    shares[some] = rng.dirichlet(np.full(len(some), 5.0))
+    times = rng.multinomial(900, chance @ shares).astype(float)
+    times, chance = times[times > 0], chance[times > 0]
+    size = times.sum() / language.OVERLAP
+    price = 0.5 * math.log(max(size, 2)) + math.log(5)
+    values = {}
+    for mask in range(1, 32):
+        active = [i for i in range(5) if mask >> i & 1]
+        _, likelihood = language.mixture(times, chance[:, active])
+        values[tuple(active)] = likelihood / language.OVERLAP - price * (len(active) - 1)
+    found = language.choose(times, chance, size)
+    assert values[tuple(np.flatnonzero(found).tolist())] >= max(values.values()) - 1e-6
+    assert abs(found.sum() - 1) < 1e-6
+
+
+def test_as_many_languages_as_are_allowed_fit_the_driver():
+    model = language.Model(["a"] * 3, np.ones((3, language.BUCKETS), np.uint32))
+    assert model.chance.nbytes == 4 * language.BUCKETS * 4
+    assert language.MODEL_BYTES == 24 * language.MOST_LANGUAGES * language.BUCKETS < 500e6
+
+
 def test_all_languages_of_a_mixed_text_are_given(spark):
     from tallyfold.llm.queries import op3_language
 
@@ -601,6 +630,38 @@ def test_toxicity_of_odd_rows(spark, documents, marks):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_scores_are_those_of_a_plain_version(spark):
+    """Each window compressed anew with dictionaries made anew, thresholds and sums by hand."""
+    import zstandard
+
+    rng = random.Random(2)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(200)]
+    texts = [" ".join(rng.choice(plain + ["grumpify", "zornig"] * 8 * (i % 2)) for _ in range(80)) for i in range(120)]
+    model = toxicity.Model(texts, np.array([i % 2 for i in range(120)]))
+
+    def size(window, content):
+        how = zstandard.ZstdCompressionParameters.from_level(
+            toxicity.LEVEL, source_size=2 * toxicity.WINDOW, dict_size=len(content), min_match=4,
+            write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+        given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        given.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=given, compression_params=how).compress(window))
+
+    toxic, ordinary = model.compressors.contents
+    for text in [*texts[:6], "", "grumpify", "nothing of the kind here"]:
+        data = toxicity.view(text)
+        windows = toxicity.windows(data)
+        assert b"".join(windows) == data
+        saved = [size(w, ordinary) - size(w, toxic) for w in windows]
+        over = [x for x in saved if x >= model.threshold]
+        best = max([0, *saved])
+        found = [1, math.log1p(sum(over)), best / 8, math.log1p(sum(over) / max(1, len(saved))), bool(over)]
+        score = 1 / (1 + math.exp(-sum(a * b for a, b in zip(found, model.weights))))
+        assert abs(score - model.score(text)) < 1e-9
+    assert sum(model.score(t) >= 0.5 for t in texts[1::2]) >= 54 and sum(model.score(t) >= 0.5 for t in texts[::2]) <= 6
+
+
 def test_the_toxicity_sample_is_bounded_before_it_is_collected(spark, documents, monkeypatch):
     held = {}
 
