@@ -1,14 +1,17 @@
 """Nearest neighbours by inner product: a block matrix join with error bounds.
 
-Vectors are quantised to int8 once. Queries are dealt into blocks by a hash, as many as it takes,
-and candidates into parts of about PART_ROWS rows, PARTS of them at least; what is dealt is codes, a
-byte for each component, with the step and two lengths of each vector. Each block meets each part in
-one tile: the queries are held, the candidates pass by. Codes are multiplied (as whole numbers in
-float32, which is exact); the product of two codes differs from the true inner product by a bounded
-error, known from what quantising left over. A candidate survives unless its upper bound is below the
-k-th largest lower bound of its query, in its tile and then over all tiles. Only survivors' vectors
-are fetched, by a join on the row, and their products computed in double precision; the k best of
-each query are kept by bounded heaps ahead of the last shuffle and after it (Spark's group limit).
+Vectors are quantised to int8 once, and what that leaves over to int8 again. Queries are dealt into
+blocks by a hash, as many as it takes, and candidates into parts of about PART_ROWS rows, PARTS of
+them at least; what is dealt is codes, two bytes for each component, with the steps and lengths of
+each vector. Each block meets each part in one tile: the queries are held, the candidates pass by.
+First codes are multiplied (as whole numbers in float32, which is exact); the product of two differs
+from the true inner product by a bounded error, known from what quantising left over. A pair survives
+unless its upper bound is below the k-th largest lower bound of its query. Survivors are bounded anew
+with both codes, in double precision and 250 times closer, so that little more than the k best of a
+tile are left, and only these leave it. Over all tiles they are thinned out in the same way. The
+original vectors of the last survivors are fetched once, by a join on the row, for their exact
+products; the k best of each query are kept by bounded heaps ahead of the last shuffle and after it
+(Spark's group limit).
 
 Of equal vectors, which tie, only those that can be among the k best are candidates: the k + 1
 smallest ids, k rows of each. So a vector that fills much of the table does not survive often.
@@ -41,8 +44,12 @@ PART_ROWS = 1 << 20  # of a part, about; more candidates make more parts
 TILE_QUERIES, TILE_ROWS = 512, 2048  # multiplied at once
 EXACT_DIMS = 1024  # products of so many int8 pairs add up exactly in float32
 MOST_TASKS = 1 << 15
-HELD = 1 << 20  # survivors held of a tile before those ruled out since are dropped
-CODED = "row bigint, vec_id bigint, dim int, codes binary, step double, length double, rest double"
+PAIRS_AT_ONCE = 1 << 16
+HELD = 8  # times k survivors are held of a query before those ruled out since are dropped
+CODED = (
+    "row bigint, vec_id bigint, dim int, codes binary, fine binary, step double, fine_step double, "
+    "length double, rest double, fine_rest double"
+)
 FOUND = "query bigint, row bigint, low double, high double"
 
 
@@ -78,8 +85,15 @@ def candidates_of(rows: DataFrame, k: int) -> DataFrame:
     return named.join(many, "digest", "left_anti").unionByName(copies).drop("digest")
 
 
+def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of one byte, and the step of each vector."""
+    step = np.abs(vectors).max(axis=1) / 127
+    step[step == 0] = 1  # too small to divide; its codes are 0, all is left over
+    return np.rint(vectors / step[:, None]).astype(np.int8), step
+
+
 def coded(rows: DataFrame) -> DataFrame:
-    """Codes of one byte, the step of each vector, and the lengths that bound the error."""
+    """Codes, codes of what these leave over, their steps, and the lengths that bound the errors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,23 +103,30 @@ def coded(rows: DataFrame) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 part = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
-                step = np.abs(part).max(axis=1) / 127
-                step[step == 0] = 1  # too small to divide; its codes are 0, all is left over
-                codes = np.rint(part / step[:, None]).astype(np.int8)
-                about = codes * step[:, None]
+                codes, step = quantised(part)
+                left = part - codes * step[:, None]
+                fine, fine_step = quantised(left)
+                left_over = left - fine * fine_step[:, None]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").take(pa.array(at)),
                         batch.column("vec_id").take(pa.array(at)),
                         pa.array(np.full(len(at), dim, np.int32)),
                         pa.array([c.tobytes() for c in codes], pa.binary()),
+                        pa.array([c.tobytes() for c in fine], pa.binary()),
                         pa.array(step),
-                        pa.array(np.linalg.norm(about, axis=1)),
-                        pa.array(np.linalg.norm(part - about, axis=1)),
+                        pa.array(fine_step),
+                        pa.array(np.linalg.norm(part, axis=1)),
+                        pa.array(np.linalg.norm(left, axis=1)),
+                        pa.array(np.linalg.norm(left_over, axis=1)),
                     ],
-                    names=["row", "vec_id", "dim", "codes", "step", "length", "rest"],
+                    schema=schema,
                 )
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(CODED))
     return rows.select("row", "vec_id", "embedding").mapInArrow(run, CODED)
 
 
@@ -113,11 +134,16 @@ class Quantised:
     """Some vectors of one length, as codes."""
 
     def __init__(self, rows: pa.Table | pa.RecordBatch):
-        self.rows, self.ids, self.step, self.length, self.rest = (
-            rows.column(c).to_numpy() for c in ("row", "vec_id", "step", "length", "rest")
+        def matrix(name: str) -> np.ndarray:
+            flat = np.frombuffer(b"".join(rows.column(name).to_pylist()), np.int8)
+            return flat.reshape(rows.num_rows, -1)
+
+        self.rows, self.ids, self.step, self.length, self.rest, self.fine_rest = (
+            rows.column(c).to_numpy() for c in ("row", "vec_id", "step", "length", "rest", "fine_rest")
         )
-        flat = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int8)
-        self.codes = flat.reshape(rows.num_rows, -1)
+        self.codes = matrix("codes")
+        self.about = self.codes * self.step[:, None]
+        self.about += matrix("fine") * rows.column("fine_step").to_numpy()[:, None]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,6 +163,23 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def error_of(length_a, rest_a, length_b, rest_b):
+    """How far the product of two vectors may be from that of their codes.
+
+    By Cauchy-Schwarz on what was left over; the last two terms allow for rounding.
+    """
+    error = rest_a * (length_b + 2 * rest_b) + (length_a + rest_a) * rest_b
+    return error * (1 + 1e-9) + 1e-12 * (length_a + rest_a) * (length_b + rest_b) + 1e-300
+
+
+def bounds(about: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums that overflow bound nothing."""
+    low, high = about - error, about + error
+    low[~np.isfinite(low)] = -np.inf
+    high[np.isnan(high)] = np.inf
+    return low, high
+
+
 class Search:
     """A block of queries, and the candidates of each that may be among its k best."""
 
@@ -144,37 +187,48 @@ class Search:
         self.asked, self.k = asked, k
         self.least = np.full(len(asked.rows), -np.inf)  # the k-th largest lower bound, once there are k
         self.held: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 2 + (np.empty(0),) * 2]
-        self.size, self.room = 0, HELD
+        self.size, self.room = 0, HELD * k * len(asked.rows)
 
     def add(self, block: Quantised) -> None:
         """Compare with some candidates."""
-        for i in range(0, len(self.asked.rows), TILE_QUERIES):
+        asked = self.asked
+        for i in range(0, len(asked.rows), TILE_QUERIES):
             some = slice(i, i + TILE_QUERIES)
-            length, rest = self.asked.length[some], self.asked.rest[some]
-            about = products(self.asked.codes[some], block.codes)
-            about *= self.asked.step[some, None] * block.step
-            # By Cauchy-Schwarz on what was left over; the last two terms allow for rounding.
-            error = np.outer(rest, block.length + block.rest) + np.outer(length, block.rest)
-            error *= 1 + 1e-9
-            error += 1e-12 * np.outer(length + rest, block.length + block.rest) + 1e-300
-            own = self.asked.ids[some, None] == block.ids[None, :]
-            low, high = about - error, about + error
-            # Sums that overflow bound nothing.
-            low[own | ~np.isfinite(low)] = -np.inf
-            high[np.isnan(high)] = np.inf
+            about = products(asked.codes[some], block.codes)
+            about *= asked.step[some, None] * block.step
+            error = error_of(asked.length[some, None], asked.rest[some, None], block.length, block.rest)
+            low, high = bounds(about, error)
+            own = asked.ids[some, None] == block.ids[None, :]
+            low[own] = -np.inf
             least = self.least[some]
             if low.shape[1] >= self.k:
                 at = low.shape[1] - self.k
                 np.maximum(least, np.partition(low, at, axis=1)[:, at], out=least)
             query, which = np.nonzero((high >= least[:, None]) & ~own)
-            self.held.append((query + i, block.rows[which], low[query, which], high[query, which]))
-            self.size += len(query)
+            query += i
+            for j in range(0, len(query), PAIRS_AT_ONCE):
+                self.refine(query[j : j + PAIRS_AT_ONCE], which[j : j + PAIRS_AT_ONCE], block)
         if self.size > self.room:
             self.thin()
-            self.room = max(HELD, 2 * self.size)
+            self.room = max(self.room, 2 * self.size)
+
+    def refine(self, query: np.ndarray, which: np.ndarray, block: Quantised) -> None:
+        """Bound some pairs with both codes."""
+        asked = self.asked
+        about = np.einsum("ij,ij->i", asked.about[query], block.about[which])
+        error = error_of(asked.length[query], asked.fine_rest[query], block.length[which], block.fine_rest[which])
+        low, high = bounds(about, error)
+        stay = high >= self.least[query]
+        self.held.append((query[stay], block.rows[which[stay]], low[stay], high[stay]))
+        self.size += int(stay.sum())
 
     def thin(self) -> None:
         query, row, low, high = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((-low, query))
+        sizes = np.bincount(query, minlength=len(self.least))
+        enough = np.flatnonzero(sizes >= self.k)
+        kth = order[(np.cumsum(sizes) - sizes)[enough] + self.k - 1]
+        self.least[enough] = np.maximum(self.least[enough], low[kth])
         stay = high >= self.least[query]
         self.held = [(query[stay], row[stay], low[stay], high[stay])]
         self.size = int(stay.sum())
@@ -256,7 +310,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = written(usable(queries).distinct().select(numbered, "vec_id", "embedding"))
     n, longest = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     parts = n_parts(rows.count())
-    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (longest or 1)))
+    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * (longest or 1))))
     pairs = survivors(
         written(coded(asked)), written(coded(candidates_of(rows, k))), max(1, -(-n // block)), parts, k
     )
