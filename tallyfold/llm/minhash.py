@@ -34,7 +34,8 @@ linked with nothing and is its own component. Very long texts are whole sets; on
 a time beside batches of BATCH_BYTES. Repeated rows have the same set and so one
 class. Rows without doc_id take no part: their component is null and they are kept. Rows that
 share a doc_id and not a text are linked each by its own text. Sets are told apart by two 64-bit
-sums of the hashes of their shingles, texts of one doc_id by 64 bits. Extra columns are ignored; an
+sums of the hashes of their shingles; where texts share a doc_id, classes are told apart by 64 bits
+of doc_id and text. Extra columns are ignored; an
 empty table gives no rows.
 """
 
@@ -47,7 +48,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import arrow_map, parts, sizes_within, whole_text, written
@@ -531,11 +532,13 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
 
 
-def set_classes(found: DataFrame) -> DataFrame:
-    """``id, least, text_hash, copies`` and the set and sketch of each class; the row of the least is its text.
+def class_name(shared: bool) -> Column:
+    """The number of a row's class, if it is the first of it: the doc_id, unless texts share one."""
+    return F.xxhash64("doc_id", "text_hash") if shared else F.col("doc_id")
 
-    The id is any number of its own, as several classes may share a doc_id. It holds once written.
-    """
+
+def set_classes(found: DataFrame, shared: bool) -> DataFrame:
+    """``id, least, copies`` and the set and sketch of each class; ``id`` names the row of its text."""
     return (
         found.where("set_a is not null and doc_id is not null")
         .groupBy("set_a", "set_b", "n_shingles")
@@ -544,20 +547,17 @@ def set_classes(found: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("copies"),
             F.min("sketch").alias("sketch"),
         )
-        .select(
-            F.monotonically_increasing_id().alias("id"),
-            F.col("first.doc_id").alias("least"),
-            F.col("first.text_hash").alias("text_hash"),
-            *("copies", "set_a", "set_b", "n_shingles", "sketch"),
-        )
+        .select("first.*", "copies", "set_a", "set_b", "n_shingles", "sketch")
+        .withColumn("id", class_name(shared))
+        .withColumnRenamed("doc_id", "least")
+        .drop("text_hash")
     )
 
 
-def class_texts(documents: DataFrame, asked: DataFrame, repeated: bool) -> DataFrame:
-    """``id, text`` of the classes asked for (``id, least, text_hash``), one text each."""
-    asked = asked.select("id", "least", F.col("text_hash").alias("of_hash"))
-    same = (F.col("doc_id") == F.col("least")) & (F.col("text_hash") == F.col("of_hash"))
-    texts = named_texts(documents).join(asked, same).select("id", "text")
+def class_texts(documents: DataFrame, asked: DataFrame, shared: bool, repeated: bool) -> DataFrame:
+    """``id, text`` of the classes asked for (``id``), one text each."""
+    texts = named_texts(documents).where("doc_id is not null").select(class_name(shared).alias("id"), "text")
+    texts = texts.join(asked, "id", "left_semi")
     # Rows that are wholly the same; their text is moved a second time only where there are any.
     return texts.groupBy("id").agg(F.first("text").alias("text")) if repeated else texts
 
@@ -565,7 +565,11 @@ def class_texts(documents: DataFrame, asked: DataFrame, repeated: bool) -> DataF
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     found = written(sketches(documents, percent))
-    classes = written(set_classes(found))
+    rows = found.where("set_a is not null and doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high")
+    )
+    repeated, shared = rows.agg(F.max(F.col("n") > 1), F.max(F.col("low") < F.col("high"))).first()
+    classes = written(set_classes(found, bool(shared)))
     members = classes.select("id", F.col("n_shingles").alias("size"), "sketch")
     in_buckets = buckets(members)
     first = written(star_pairs(in_buckets, members, percent))
@@ -575,9 +579,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         .unionByName(in_buckets.where("n > 2").select("id"))
         .distinct()
     )
-    named = written(classes.select("id", "least", "text_hash").join(asked, "id", "left_semi"))
-    again = found.where("set_a is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    texts = written(class_texts(documents, named, not again.where("n > 1").isEmpty()))
+    texts = written(class_texts(documents, written(asked), bool(shared), bool(repeated)))
     links = written(confirmed(first, texts, percent))
     labels = components(links)
     more = written(confirmed(open_pairs(in_buckets, members, labels, texts, percent), texts, percent))
