@@ -9,7 +9,7 @@ sequence found is it. Where no token fits, the token before is shortened.
 Contract: null texts count as empty; empty texts have no ids; repeated rows give repeated
 rows; extra columns are ignored; strings of special tokens give their ids, as is the library's
 default. Characters of any script are encoded in the same way; only the splitting of such texts
-is the library's.
+is the library's. A very long text is encoded whole, as one batch; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ encoding each of them. A pre-token among them counts one without any merging; th
 merged by the library, once for each distinct pre-token a Python worker remembers.
 
 Contract: null texts count as empty; empty texts have no tokens; repeated rows give repeated
-rows; extra columns are ignored; strings of special tokens count as the library's default.
+rows; extra columns are ignored; strings of special tokens count as the library's default. A very
+long text is counted whole, as one batch; an empty table gives no rows.
 """
 
 from __future__ import annotations

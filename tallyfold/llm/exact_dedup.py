@@ -10,7 +10,8 @@ are a fiftieth of the text, and no whole document is moved.
 Contract: texts are equal when identical after no change; null counts as empty, and empty
 texts are equal to one another. Of equal texts the largest doc_id stays, nulls last. Rows are
 documents: a row repeated with the same doc_id and text counts in group_size, and all of its
-repetitions carry the same values. Extra columns are ignored.
+repetitions carry the same values. A very long text is one list of chunks. Extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
