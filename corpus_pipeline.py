@@ -10,7 +10,8 @@ near         a document of the same component has a smaller doc_id; components a
              similarity of 0.80 or more, where op1_near_duplicates has 0.85
 
 A row repeated with the same doc_id and text is kept once by the exact stage. Empty tables pass
-through every stage.
+through every stage, very long texts are judged whole, and extra columns are kept whatever their names,
+up to the last stage.
 """
 
 from __future__ import annotations
